@@ -30,6 +30,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns ``names`` evaluated once per row, last in order.
+
+    They pass through a generator of one row, below which the optimizer doesn't copy their
+    expressions when a later filter or projection mentions them.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def parts(df: DataFrame) -> int:
     """Partitions for a range shuffle: what the session uses for its other shuffles."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

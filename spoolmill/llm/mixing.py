@@ -24,7 +24,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, settle
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of the registered query (fixed values); anything else weighs 1.
@@ -89,6 +89,7 @@ def select(df: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, *,
     Texts are never shuffled: leaf totals, and where each leaf's last epoch ends, are small tables.
     """
     counted = df.withColumn("domain", domain_of(F.col("source"))).withColumn("n_tokens", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"))
+    counted = settle(counted, "domain", "n_tokens")
     if not keep_text:
         counted = cut(counted.drop(text))
     small = counted.select(*LEVELS, doc, "n_tokens") if not keep_text else cut(counted.select(*LEVELS, doc, "n_tokens"))
@@ -107,14 +108,15 @@ def select(df: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, *,
     taken = counted.where("n_tokens > 0").join(side(ends), same).drop(*names)
     taken = taken.withColumn("_key", _order(F.col("_full"), seed, doc)).withColumn("_bucket", F.substring("_key", 1, DIGITS))
 
-    whole = taken.where("_full > 0").withColumn("epoch", F.explode(F.expr("sequence(0, _full - 1)"))).withColumn("take", F.col("n_tokens"))
-    prefix = taken.where("_rest > 0 AND _bucket < _end").withColumn("epoch", F.col("_full")).withColumn("take", F.col("n_tokens"))
+    # whole passes, and the last one for rows before its end
+    passes = F.expr("concat(if(_full > 0, sequence(0L, _full - 1), array()), if(_rest > 0 AND _bucket < _end, array(_full), array()))")
+    sure = taken.withColumn("epoch", F.explode(passes)).withColumn("take", F.col("n_tokens"))
     edge = taken.where("_rest > 0 AND _bucket = _end")
     run = Window.partitionBy(*LEVELS).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)  # one bucket of each leaf
     at = F.col("_before") + F.coalesce(F.sum("n_tokens").over(run), F.lit(0))
     edge = edge.withColumn("epoch", F.col("_full")).withColumn("take", F.least(F.col("n_tokens"), F.col("_rest") - at)).where("take > 0")
     gone = ("_full", "_rest", "_end", "_before", "_key", "_bucket")
-    return whole.unionByName(prefix).unionByName(edge).withColumn("epoch", F.col("epoch").cast("long")).drop(*gone)
+    return sure.unionByName(edge).withColumn("epoch", F.col("epoch").cast("long")).drop(*gone)
 
 
 def _same(names: list[str]) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak
-from .common import cut, let
+from .common import cut, let, settle
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "name", "national_id", "secret")
@@ -148,7 +148,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_b", F.concat(*[_candidates(t, k, p, h, True) for k, (p, h) in BASE.items()]))
     df = df.withColumn("_m", F.concat(*[_candidates(t, k, p, HINT[k], False) for k, p in MORE.items()]))
     more = F.when(F.size("_m") == 0, F.col("_m")).otherwise(F.filter("_m", lambda x: ~F.exists("_b", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
-    return df.withColumn("found", F.sort_array(F.concat("_b", more))).drop("_b", "_m")
+    return settle(df.withColumn("found", F.sort_array(F.concat("_b", more))).drop("_b", "_m"), "found")
 
 
 def train(found: DataFrame, *, rounds: int = 25) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak
-from .common import SPACES, cut, let
+from .common import SPACES, cut, let, settle
 
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("symbols", "repeats", "lines", "capitals", "word_length", "exclamations")
@@ -100,7 +100,7 @@ def judge(df: DataFrame, text: str = "text", *, keep_text: bool = True, threshol
     ``keep_text`` the text column goes and the texts are read once, since the votes are checkpointed;
     with it, texts are read once for the fit and once for the verdict, and nothing is written.
     """
-    voted = votes(signals(df, text), text)
+    voted = settle(votes(signals(df, text), text), *SIGNALS, "base_failed", "votes")
     if not keep_text:
         voted = cut(voted.drop(text))
     model = weak.fit(voted.select("votes"), "votes", len(RULES), learn_prior=False)
