@@ -1,0 +1,44 @@
+from pyspark.sql import functions as F
+
+from spoolmill.operators import search, store
+from spoolmill.sources import bridge
+
+DAY = 86400
+ROW = "path string, last_active_at long, starred boolean, state string, trashed_at long"
+
+
+def archive(spark):
+    now = 100 * DAY
+    return now, spark.createDataFrame([("old", now - 9 * DAY, False, "live", None), ("star", now - 9 * DAY, True, "live", None), ("new", now - DAY, False, "live", None), ("gone", 0, False, "trash", now - 8 * DAY)], ROW)
+
+
+def test_cleanup_expires_and_purges_but_not_the_same_row(spark):
+    now, a = archive(spark)
+    got = {r.path: (r.state, r.trashed_at) for r in store.cleanup(a, now, 7).collect()}
+    assert got == {"old": ("trash", now), "star": ("live", None), "new": ("live", None)}
+    kept = store.cleanup(a, now, None).collect()
+    assert {r.path for r in kept if r.state == "live"} == {"old", "star", "new"}
+    safe = store.cleanup(a, now, 7, protected=spark.createDataFrame([("old",)], "path string"))
+    assert {r.path for r in safe.collect() if r.state == "live"} == {"old", "star", "new"}
+
+
+def test_upsert_keeps_the_star(spark):
+    _, a = archive(spark)
+    new = a.where("path = 'star'").withColumn("starred", F.lit(False)).withColumn("last_active_at", F.lit(5).cast("long"))
+    got = {r.path: r for r in store.upsert(a, new).collect()}
+    assert len(got) == 4 and got["star"].starred and got["star"].last_active_at == 5
+
+
+def test_search_short_long_and_literal(spark):
+    rows = spark.createDataFrame([("p1", "t", "docker 端口被占用 a%b", None, 1), ("p2", "kubernetes", "axb", "proj", 2)], "path string, title string, body string, project string, last_active_at long")
+    find = lambda q: [r.path for r in search.search(rows, q).collect()]
+    assert find("端口被") == ["p1"] and find("端口") == ["p1"] and find("%b") == ["p1"] and find("KUBER") == ["p2"] and find("  ") == []
+
+
+def test_lenient_json(spark):
+    lines = ['{"type":"user","sessionId":"s","timestamp":"2024-01-01T00:00:00Z","message":{"content":"[1]"}}', "{broken", "null", "[1]", '{"type":5}', '{"type":"assistant","message":{"content":[{"type":"tool_use","text":"no"}]}}', '{"type":"user","timestamp":"2024-01-01","message":{"content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}}']
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
+    got = [(r.type, r.session_id, r.ts, r.text) for r in bridge.parse_jsonl(df).orderBy("line_no").collect()]
+    assert got[0] == ("user", "s", 1704067200, "[1]")
+    assert got[6] == ("user", None, None, "a\n\nb")
+    assert got[5][3] == "" and got[4][0] is None
