@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, parts
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
-TOKENS, DEPTH, SMALL = 64, 3, 64
+TOKENS, DEPTH, SMALL = 64, 2, 256
 #: A candidate's estimate may be this much under the threshold (3.5 standard deviations of 64 tokens).
 SLACK = 0.175
 #: Sets of a candidate group that meet in one task are at most twice this many.
