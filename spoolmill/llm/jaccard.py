@@ -6,7 +6,7 @@ its sets to one child per sampled coordinate and value, so sets that share a sam
 together. Nodes of at most ``SMALL`` sets are compared by brute force, larger ones are split again,
 and runs repeat until a pair at the threshold is met with the target recall. Nodes that are still
 large at the last level hold near copies mostly: all their sets are compared with one pivot, and what
-is not like the pivot is compared with the whole node, in blocks.
+is neither like the pivot nor joined to it by then is compared with the whole node, in blocks.
 
 These comparisons use the 64 tokens and only join sets into candidate groups. Within a group, all
 sets are then compared exactly, from the texts, in blocks of bounded size; pairs are counted inside
@@ -244,9 +244,17 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     held = rows.join(sets.select("sid", "sk"), "sid").join(pivots.join(about, "pivot"), "node")
     held = cut(held.select("node", "sid", "m", "pivot", (_agreement(F.col("sk"), F.col("psk")) >= threshold - SLACK).alias("near")))
     union(held.where("near AND sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct())
+    if held.where("NOT near").isEmpty():
+        return edges
+    # Unlike the pivot, but perhaps joined to it already, through another node: no comparison is needed.
+    edges = cut(edges)
+    known = cut(components(edges))
+    mine, its = (known.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("sid", "pivot"))
+    joined = held.where("NOT near").join(mine, "sid", "left").join(its, "pivot", "left").withColumn("near", F.coalesce(F.expr("sid_root = pivot_root"), F.lit(False)))
+    held = cut(held.where("near").unionByName(joined.select(held.columns)))
     rest = held.where("NOT near")
     if not rest.isEmpty():
-        # unlike the pivot: block by block against the whole node
+        # still apart from the pivot: block by block against the whole node
         few = rest.groupBy("node").agg(F.count("*").alias("q"))
         blocks = held.join(few, "node").withColumn("qs", F.ceil(F.col("q") / BLOCK)).withColumn("ms", F.ceil(F.col("m") / BLOCK))
         first = blocks.where("NOT near").select("sid", F.lit(0).alias("side"), "node", F.pmod(F.xxhash64("sid"), "qs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("y"))
