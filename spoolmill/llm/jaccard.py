@@ -226,22 +226,25 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
         near = buckets.join(sets.select("sid", "n", "sk"), "sid").repartition(parts(sets), "bucket").sortWithinPartitions("bucket", "side", "sid")
         return near.select("bucket", "sid", "side", "n", "sk").mapInArrow(_alike(threshold), "a binary, b binary").where("a IS NOT NULL")
 
+    def with_tokens(rows: DataFrame) -> DataFrame:  # from the second level on, rows carry them
+        return rows if "sk" in rows.columns else rows.join(sets.select("sid", "sk"), "sid")
+
     for level in range(1, DEPTH + 1):
         counts = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
         rows = cut(rows.join(counts, "node"))
         small = rows.where(F.col("m") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
         small = small.select("sids").distinct().select(F.xxhash64("sids").alias("bucket"), F.explode("sids").alias("sid"), F.lit(0).alias("side"))
         union(compare(small))
-        rows = rows.where(F.col("m") > SMALL).select("node", "sid")
+        rows = rows.where(F.col("m") > SMALL).drop("m")
         if rows.isEmpty():
             return edges
         if level < DEPTH:
-            up = rows.join(sets.select("sid", "sk"), "sid")
+            up = with_tokens(rows)
             picked = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.pmod(F.xxhash64(F.col("node"), i, F.lit(seed)), F.lit(rate)) == 0)
-            rows = up.select("sid", F.explode(F.transform(picked, lambda i: F.xxhash64(F.col("node"), i, F.get(F.col("sk"), i)))).alias("node"))
+            rows = up.select("sid", "sk", F.explode(F.transform(picked, lambda i: F.xxhash64(F.col("node"), i, F.get(F.col("sk"), i)))).alias("node"))
     pivots = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "sid").alias("h"), "sid"))["sid"].alias("pivot"), F.count("*").alias("m"))
     about = sets.select(F.col("sid").alias("pivot"), F.col("sk").alias("psk"))
-    held = rows.join(sets.select("sid", "sk"), "sid").join(pivots.join(about, "pivot"), "node")
+    held = with_tokens(rows).join(pivots.join(about, "pivot"), "node")
     held = cut(held.select("node", "sid", "m", "pivot", (_agreement(F.col("sk"), F.col("psk")) >= threshold - SLACK).alias("near")))
     union(held.where("near AND sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct())
     if held.where("NOT near").isEmpty():
