@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Equivalent spellings (fixed values), applied to canonical text in this order.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("copyright owner", "copyright holder"), ("whilst", "while"), ("v 2", "version 2"), ("v 3", "version 3"))
 
@@ -82,14 +84,16 @@ def scan(df: DataFrame, licences: DataFrame, text: str = "text") -> DataFrame:
     (line, licence) for each line that is a known notice by itself, in order.
 
     The lines' matches are brought back by the text's own SHA-256, once per distinct text, so rows
-    need no key and only matching lines are shuffled.
+    need no key and only matching lines are shuffled. Canonical forms are settled, so that filters
+    and joins on digests don't compute them again.
     """
     small = licences.count() <= BROADCAST_ROWS
     side = F.broadcast(licences) if small else licences
     t = F.coalesce(F.col(text), F.lit(""))
-    keyed = df.withColumn("_t", F.sha2(t, 256)).withColumn("digest", digest(F.col(text)))
+    keyed = settle(df.withColumn("_t", F.sha2(t, 256)).withColumn("_c", canonical(F.col(text))), "_t", "_c").withColumn("digest", F.when(F.col("_c") != "", F.sha2("_c", 256))).drop("_c")
     lines = df.select(F.sha2(t, 256).alias("_t"), F.posexplode(F.split(t, "\n")).alias("line", "_l")).where(F.length("_l") > 0)
-    lines = lines.select("_t", F.col("line").cast("long").alias("line"), digest(F.col("_l")).alias("digest")).where(F.col("digest").isNotNull())
+    forms = settle(lines.select("_t", F.col("line").cast("long").alias("line"), canonical(F.col("_l")).alias("_c")), "_c").where(F.col("_c") != "")
+    lines = forms.select("_t", "line", F.sha2("_c", 256).alias("digest"))
     hits = lines.join(side, "digest").select("_t", "line", "licence").distinct()
     per_text = hits.groupBy("_t").agg(F.sort_array(F.collect_list(F.struct("line", "licence"))).alias("line_licences"))
     whole = keyed.join(side.withColumnRenamed("licence", "_licence"), "digest", "left").withColumnRenamed("_licence", "licence")
