@@ -267,3 +267,28 @@ def fence_segments(spark, sf_dir):
     lines = F.array(F.lit("a"), F.lit("```py"), F.lit("  x"), F.lit("```"), F.substring("text", 1, 20), F.lit("~~~~"), F.lit("y"))
     inside = T.fenced(lines)
     return d.select("doc_id", F.size(F.filter(inside, lambda x: x)).cast("long").alias("code"), F.size(F.filter(inside, lambda x: ~x)).cast("long").alias("other"))
+
+
+def _with_fences(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    split = F.concat(F.substring("text", 1, 20), F.lit("\n```py\n"), F.expr("substring(text, 21)"), F.lit("\n`` `\n~~~ x\n```\t\nz"))
+    every = F.concat(F.lit("````md\n```\n"), F.regexp_replace("text", "\n", "\n ~~~~\n"), F.lit("\n```a`b\n"))
+    return d.select("doc_id", F.when(F.col("doc_id") % 3 == 1, split).when(F.col("doc_id") % 3 == 2, every).otherwise(F.col("text")).alias("text"))
+
+
+_FENCES = "SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN substr(text, 1, 20) || chr(10) || '```py' || chr(10) || substr(text, 21) || chr(10) || '`` `' || chr(10) || '~~~ x' || chr(10) || '```' || chr(9) || chr(10) || 'z' WHEN 2 THEN '````md' || chr(10) || '```' || chr(10) || replace(text, chr(10), chr(10) || ' ~~~~' || chr(10)) || chr(10) || '```a`b' || chr(10) ELSE text END AS text FROM documents"
+
+
+def _walk_sql(docs: str, closes: str) -> str:
+    """Lines of whole documents, walked one by one: w has n (the open fence's length) and, before the line, o."""
+    return f"""WITH RECURSIVE d AS ({docs}), x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d), y AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM x),
+l AS (SELECT *, length(regexp_extract(line, '^[ \\t]*(`{{3,}}|~{{3,}})', 1)) AS run, regexp_matches(line, '^[ \\t]*`{{3,}}[^`]+`') AS inline, regexp_matches(line, '^[ \\t]*(`{{3,}}|~{{3,}})[ \\t]*$') AS bare FROM y),
+w AS (SELECT doc_id, 0::BIGINT AS i, ''::VARCHAR AS line, 0::BIGINT AS o, 0::BIGINT AS n FROM d
+  UNION ALL SELECT l.doc_id, l.i, l.line, w.n, CASE WHEN w.n > 0 THEN CASE WHEN l.run >= w.n AND {closes} THEN 0 ELSE w.n END WHEN l.run > 0 AND NOT l.inline THEN l.run ELSE 0 END FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1)
+"""
+
+
+@query(_walk_sql(_FENCES, "l.bare") + "SELECT doc_id, count(*) FILTER (o > 0 OR n > 0) AS code, count(*) FILTER (o = 0 AND n = 0) AS other FROM w WHERE i > 0 GROUP BY doc_id")
+def fence_segments_whole(spark, sf_dir):
+    inside = _with_fences(spark, sf_dir).select("doc_id", T.fenced(F.split("text", "\n")).alias("inside"))
+    return inside.select("doc_id", F.size(F.filter("inside", lambda x: x)).cast("long").alias("code"), F.size(F.filter("inside", lambda x: ~x)).cast("long").alias("other"))

@@ -34,3 +34,12 @@ def test_names(spark):
     assert one(spark, "///", T.sanitize) == "session"
     assert one(spark, "<command-name>x\n\n real title ", T.title) == "real title"
     assert one(spark, None, T.title) == "(untitled)"
+
+
+def test_fence_query_reads_whole_documents(spark, tmp_path):
+    from spoolmill.plans import registry
+
+    texts = ["`a` opens\nx\n```\ny\n```", "x" * 50 + "\n~~~\ny", "```js\nopen\n\nto the end", "plain"]
+    spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.code, r.other) for r in registry.QUERIES["fence_segments_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: (3, 2), 3: (2, 1), 6: (4, 0), 9: (0, 1)}
