@@ -116,3 +116,18 @@ def fenced(lines: Column) -> Column:
         return F.struct(n.alias("n"), F.concat(acc["out"], F.array(inside | opens)).alias("out"))
 
     return F.aggregate(lines, F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out")), step, lambda a: a["out"])
+
+
+def to_plain_text(t: Column) -> Column:
+    """A markdown document without its marks: fence lines go, code lines stay as they are, other lines
+    lose their marks. Unlike in ``fenced``, a closing mark may be followed by an info string."""
+
+    def step(acc: Column, line: Column) -> Column:
+        run = F.when(line.rlike("^[ \\t]*`{3,}+[^`]*`"), 0).otherwise(F.length(F.regexp_extract(line, "^[ \\t]*(`{3,}|~{3,})", 1)))
+        inside = acc["n"] > 0
+        mark = (run > 0) & (run >= acc["n"])
+        n = F.when(mark, F.when(inside, 0).otherwise(run)).otherwise(acc["n"])
+        kept = F.when(mark, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.when(inside, line).otherwise(plain_line(line)))))
+        return F.struct(n.alias("n"), kept.alias("out"))
+
+    return F.aggregate(F.split(t, "\n"), F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")), step, lambda a: F.array_join(a["out"], "\n"))

@@ -292,3 +292,25 @@ w AS (SELECT doc_id, 0::BIGINT AS i, ''::VARCHAR AS line, 0::BIGINT AS o, 0::BIG
 def fence_segments_whole(spark, sf_dir):
     inside = _with_fences(spark, sf_dir).select("doc_id", T.fenced(F.split("text", "\n")).alias("inside"))
     return inside.select("doc_id", F.size(F.filter("inside", lambda x: x)).cast("long").alias("code"), F.size(F.filter("inside", lambda x: ~x)).cast("long").alias("other"))
+
+
+def _with_marks(spark, sf_dir):
+    marks = lambda t: F.regexp_replace(F.regexp_replace(t, "\n", "\n> 1. "), ", ", " **b**, [a](b) `c` ![d](e) ")
+    return _with_fences(spark, sf_dir).select("doc_id", F.concat(F.lit("# "), "text", F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, marks(F.col("text"))).otherwise("- _e_")).alias("text"))
+
+
+_MARKS = f"""SELECT doc_id, '# ' || text || chr(10) || CASE doc_id % 2 WHEN 0 THEN replace(replace(text, chr(10), chr(10) || '> 1. '), ', ', ' **b**, [a](b) `c` ![d](e) ') ELSE '- _e_' END AS text FROM ({_FENCES})"""
+
+
+def _plain_sql(line: str) -> str:
+    bare = f"regexp_replace({line}, '^([ \\t]*> ?)+', '')"
+    out = f"CASE WHEN regexp_matches({bare}, '^[ \\t]*#+ ') THEN regexp_replace({bare}, '^[ \\t]*#+ ', '') ELSE regexp_replace({bare}, '^[ \\t]*([-*+]|[0-9]+[.)]) +', '') END"
+    marks = (r"!\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[([^\]]*)\]\(([^)]*)\)", r"\1 (\2)"), ("`([^`]*)`", r"\1"), (r"\*\*([^*]+)\*\*", r"\1"), ("__([^_]+)__", r"\1"), (r"\*([^*]+)\*", r"\1"), ("_([^_]+)_", r"\1")
+    for mark, text in marks:
+        out = f"regexp_replace({out}, '{mark}', '{text}', 'g')"
+    return out
+
+
+@query(_walk_sql(_MARKS, "NOT l.inline") + f"SELECT doc_id, coalesce(string_agg(CASE WHEN o > 0 THEN line ELSE {_plain_sql('line')} END, chr(10) ORDER BY i) FILTER (o = n), '') AS plain FROM w WHERE i > 0 GROUP BY doc_id")
+def plain_text_whole(spark, sf_dir):
+    return _with_marks(spark, sf_dir).select("doc_id", T.to_plain_text(F.col("text")).alias("plain"))

@@ -43,3 +43,14 @@ def test_fence_query_reads_whole_documents(spark, tmp_path):
     spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.code, r.other) for r in registry.QUERIES["fence_segments_whole"](spark, str(tmp_path)).collect()}
     assert got == {0: (3, 2), 3: (2, 1), 6: (4, 0), 9: (0, 1)}
+
+
+def test_plain_text_of_whole_documents(spark, tmp_path):
+    from spoolmill.plans import registry
+
+    text = "# **T**\n> - `a` [x](y)\n```py\n# **kept**\n``\n````js\n_e_\n~~~~\n*kept*\n```\n![i](u)\n~~~~ any ` mark\n**after**\n```a`b\n\n~~~\n__open__"
+    want = "T\na x (y)\n# **kept**\n``\ne\n*kept*\n```\n![i](u)\nafter\nab\n\n__open__"
+    assert one(spark, text, T.to_plain_text) == want
+    assert one(spark, "```\n```", T.to_plain_text) == "" and one(spark, None, T.to_plain_text) is None
+    spark.createDataFrame([(3, "x" * 60 + "\n## h\n" + "**y** " * 50)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert registry.QUERIES["plain_text_whole"](spark, str(tmp_path)).first()["plain"] == "x" * 60 + "\nh\n" + "y " * 50 + "\ne"
