@@ -314,3 +314,8 @@ def _plain_sql(line: str) -> str:
 @query(_walk_sql(_MARKS, "NOT l.inline") + f"SELECT doc_id, coalesce(string_agg(CASE WHEN o > 0 THEN line ELSE {_plain_sql('line')} END, chr(10) ORDER BY i) FILTER (o = n), '') AS plain FROM w WHERE i > 0 GROUP BY doc_id")
 def plain_text_whole(spark, sf_dir):
     return _with_marks(spark, sf_dir).select("doc_id", T.to_plain_text(F.col("text")).alias("plain"))
+
+
+@query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'session') AS id FROM documents")
+def sanitize_session_id_whole(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.sanitize(F.col("text")).alias("id"))
