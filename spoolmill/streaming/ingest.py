@@ -3,16 +3,29 @@
 A file stream doesn't emit a changed file again, so the stream only ticks; each batch lists, compares
 sizes and times with the manifest, and parses new and changed files whole. The manifest is written
 after the archive, so a failed batch is done again and upserts make that harmless.
+
+All tables lie in one shared folder, a subfolder for each version: ``plan``, ``archive``, ``manifest``,
+and last one row in ``commits``, before which nobody reads the others. Earlier versions are not removed.
 """
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as T
+from ..operators import store
+from ..sources import bridge as B
+
+MANIFEST = "path string, length long, mtime double"
+ARCHIVE = "path string, tool string, session_id string, started_at long, last_active_at long, starred boolean, title string, messages array<struct<turn:int,speaker:string,role:string,text:string>>, source string, state string, trashed_at long"
+
 
 def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, length, mtime) without reading contents."""
@@ -21,9 +34,9 @@ def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFra
 
 
 def lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(file, line_no, line) of whole files."""
-    text = spark.read.format("text").option("wholetext", "true").load(paths)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    """(file, line_no, line) of whole files, named as in ``listing``; files that are not UTF-8 give none."""
+    files = spark.read.format("binaryFile").load(paths).select("path", F.col("content").cast("string").alias("text")).where(F.is_valid_utf8("text"))
+    return files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
 def every(spark: SparkSession, run: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 240, once: bool = False) -> StreamingQuery:
@@ -31,3 +44,73 @@ def every(spark: SparkSession, run: Callable[[DataFrame, int], None], checkpoint
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     writer = ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def sessions(found: DataFrame, seen: DataFrame, tool: str) -> DataFrame:
+    """Archive rows of the files whose ``lines`` are ``found``; files without messages give none, and of
+    files with one name in the archive the latest counts. ``seen`` has the files' path and mtime, which
+    stands in where no line has a time."""
+    p = B.parse_jsonl(found)
+    said = F.col("type").isin("user", "assistant") & F.col("text").rlike("\\S")
+    item = F.struct(F.col("line_no").alias("turn"), F.when(F.col("type") == "assistant", tool).otherwise(F.col("type")).alias("speaker"), F.col("type").alias("role"), "text")
+    r = p.groupBy("file").agg(F.array_sort(F.collect_list(F.when(said, item))).alias("messages"), F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.min_by("session_id", F.when(F.col("session_id").isNotNull(), F.col("line_no"))).alias("_id"))
+    r = r.where(F.size("messages") > 0).join(seen.select(F.col("path").alias("file"), "mtime"), "file")
+    stem = F.regexp_replace(F.substring_index("file", "/", -1), "\\.[^.]*$", "")
+    r = r.select("file", "mtime", "messages", F.coalesce("_id", stem).alias("session_id"), F.coalesce("_from", F.floor("mtime")).alias("started_at"), F.coalesce("_to", F.floor("mtime")).alias("last_active_at"))
+    asked = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["text"]
+    name = F.concat(F.lit(f"{tool}-"), F.date_format(F.timestamp_seconds("started_at"), "yyyy-MM-dd"), F.lit("-"), T.sanitize(F.col("session_id")), F.lit(".md"))
+    rows = r.select(
+        name.alias("path"), F.lit(tool).alias("tool"), "session_id", "started_at", "last_active_at", F.lit(False).alias("starred"), T.title(asked).alias("title"), "messages",
+        F.col("file").alias("source"), F.lit("live").alias("state"), F.lit(None).cast("long").alias("trashed_at"), "mtime",
+    )
+    one = rows.groupBy("path").agg(F.max_by(F.struct(*rows.columns), F.struct("mtime", "source")).alias("r"))
+    return one.select("r.*").drop("mtime")
+
+
+def committed(spark: SparkSession, home: str) -> tuple[int, int]:
+    """The last version and the version of its archive; zeros if there is none."""
+    try:
+        last = spark.read.schema("version long, archive long").parquet(f"{home}/commits/*").agg(F.max(F.struct("version", "archive")).alias("c")).first()["c"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    return (last["version"], last["archive"]) if last else (0, 0)
+
+
+def read(spark: SparkSession, home: str, table: str, version: int) -> DataFrame:
+    schema = {"manifest": MANIFEST, "archive": ARCHIVE}[table]
+    return spark.read.schema(schema).parquet(f"{home}/{table}/{version}") if version else spark.createDataFrame([], schema)
+
+
+def archive(spark: SparkSession, home: str) -> DataFrame:
+    """The archive as last committed."""
+    return read(spark, home, "archive", committed(spark, home)[1])
+
+
+def sync(spark: SparkSession, root: str, home: str, tool: str = "claude-code", now: float | None = None) -> int:
+    """One pass; returns the committed version, which is a new one if files came, changed or went."""
+    version, held = committed(spark, home)
+    new = version + 1
+    state = read(spark, home, "manifest", version)
+
+    def write(df: DataFrame, table: str) -> None:
+        df.write.mode("overwrite").parquet(f"{home}/{table}/{new}")
+
+    write(store.plan_sync(listing(spark, root), state, time.time() if now is None else now), "plan")  # files are listed once
+    plan = spark.read.parquet(f"{home}/plan/{new}")
+    paths = [r.path for r in plan.where("status IN ('new', 'changed')").select("path").collect()]
+    if not paths and plan.where("status = 'oversize'").isEmpty() and state.join(plan, "path", "left_anti").isEmpty():
+        return version
+    if paths:
+        literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", x) for x in paths]
+        write(store.upsert(read(spark, home, "archive", held), sessions(lines(spark, literal), plan, tool)).select(*(f.split()[0] for f in ARCHIVE.split(", "))), "archive")
+    waiting = store.prune(state, plan.where("status = 'settling'"))
+    write(plan.where("status <> 'settling'").select("path", "length", "mtime").unionByName(waiting), "manifest")
+    write(spark.createDataFrame([(new, new if paths else held)], "version long, archive long").coalesce(1), "commits")
+    return new
+
+
+def ingest(spark: SparkSession, root: str, home: str, checkpoint: str, tool: str = "claude-code", seconds: int = 240, once: bool = False) -> StreamingQuery:
+    """A pass on each tick."""
+    return every(spark, lambda ticks, _: sync(ticks.sparkSession, root, home, tool), checkpoint, seconds, once)
