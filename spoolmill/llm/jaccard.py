@@ -320,17 +320,18 @@ def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall
     ``class_key`` names the component also where ids are null or repeated; null for texts without words.
     """
     docs = cut(sketches(df, words))
-    sets = docs.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("sk").alias("sk"))
+    sets = docs.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     sets = cut(sets)
     edges = candidates(sets, threshold, recall)
     group = cut(components(edges))
     size = group.groupBy("root").agg(F.count("*").alias("size"))
-    member = group.join(size, "root").withColumnRenamed("node", "sid").join(sets.select("sid", "doc", "w"), "sid")
+    member = group.join(size, "root").withColumnRenamed("node", "sid").join(sets.select("sid", "row", "w"), "sid")
     nb = F.ceil(F.col("size") / BLOCK)
     mine = F.pmod(F.xxhash64("sid"), nb)
     member = member.withColumn("nb", nb).withColumn("mine", mine)
-    text = df.select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    texts = text.join(member, F.col("_doc").eqNullSafe(F.col("doc")))
+    # a set fetches the text of one row; the id alone may be null or repeated
+    text = df.select(F.col("doc_id").cast("long").alias("_doc"), text_key(F.col("text")).alias("_key"), "text")
+    texts = text.join(member, (F.col("_key") == F.col("row.text_key")) & F.col("_doc").eqNullSafe(F.col("row.doc_id")))
     spread = texts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     # a set meets block j; within its own block all pairs count, else only pairs of two blocks
     bucket = F.xxhash64("root", F.least("mine", "j"), F.greatest("mine", "j"))

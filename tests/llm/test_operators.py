@@ -2,6 +2,7 @@ import hashlib
 import json
 import re
 import zlib
+from uuid import uuid4
 
 import numpy as np
 import pytest
@@ -166,6 +167,27 @@ def test_near_duplicates_against_brute_force(spark, docs, monkeypatch):
     assert len(kept) == len({r[1] for r in want})
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_sets_of_one_id_fetch_only_their_own_texts(spark, monkeypatch, tmp_path, doc_id):
+    exact = jaccard._exact
+
+    def counted(*a):
+        run = exact(*a)
+
+        def seen(batches):
+            for b in batches:
+                (tmp_path / uuid4().hex).write_text(str(b.num_rows))
+                yield b
+
+        return lambda batches: run(seen(batches))
+
+    monkeypatch.setattr(jaccard, "_exact", counted)
+    rows = [(doc_id, " ".join([*(f"w{i}" for i in range(120)), f"k{k}"])) for k in range(40)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.class_id, r.n_links) for r in got] == [(doc_id, 39)] * 40
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 40
+
+
 def test_chat_stream_is_depth_first_and_reversible(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<[x]"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (2, 2, "user", None), (3, 0, None, "</s>[INST]"), (None, 0, "assistant", "n")]
     stream, branches = chat.format_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
