@@ -141,8 +141,8 @@ VALID = {"wav": _wav, "png": _png, "gif87": _gif, "gif89": _gif, "jpeg": _jpeg,
 
 
 def sniff(blob: bytes) -> list[tuple[str, int, int]]:
-    """(format, start, end) of each medium in ``blob``, by start; media inside others are left to a
-    sniff of those."""
+    """(format, start, end) of each medium in ``blob``, by start; media inside others are left to
+    ``nested``."""
     found, free = [], 0
     for at, (kind, n) in _automaton().iter(blob.decode("latin-1")):
         s = at - n + 1
@@ -152,6 +152,23 @@ def sniff(blob: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
+def nested(blob: bytes) -> list[tuple[str, int, int, int]]:
+    """(format, start, end, depth) of all media in ``blob``, by start and then outermost first; inside a
+    medium all bytes after the first of its magic count, so a WAVE's samples do. Compressed contents aren't unpacked."""
+    found, open_ = [], []
+    for at, (kind, n) in _automaton().iter(blob.decode("latin-1")):
+        s = at - n + 1
+        while open_ and open_[-1] <= s:
+            open_.pop()
+        end = VALID[kind](blob, s)
+        if open_ and end > open_[-1]:  # a pdf's end is searched backwards
+            end = VALID[kind](blob[: open_[-1]], s)
+        if end > s:
+            found.append((kind, s, end, len(open_)))
+            open_.append(end)
+    return found
+
+
 def true_type(blob: bytes, declared: str | None) -> str | None:
     """The format found at the blob's start; the declared one if there is none."""
     found = sniff(blob)
@@ -221,3 +238,21 @@ def read_back(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in READ.split(", ")])
 
     return df.select("doc_id", "n_bytes", "true_type", "media").mapInArrow(run, READ)
+
+
+CARVED = "doc_id bigint, type string, start bigint, end bigint, depth int, bytes binary"
+
+
+def carve(df: DataFrame, media: str = "media", doc: str = "doc_id") -> DataFrame:
+    """One row for each medium in each blob, also inside others (depth 1 and more); null blobs have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        for batch in batches:
+            for d, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                b = blob.as_py() or b""
+                for kind, s, end, depth in nested(b):
+                    row = (d, kind, s, end, depth, b[s:end])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [f.split()[0] for f in CARVED.split(", ")])
+
+    return df.select(F.col(doc).cast("long"), F.col(media)).mapInArrow(run, CARVED)

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 import re
@@ -245,3 +246,13 @@ def test_pipeline_runs_stage_by_stage(spark, tmp_path):
         if name == "jaccard":
             assert docs.count() == docs.select("doc_id").distinct().count() < before
     assert json.loads("true") and corpus_pipeline.pack_windows(spark, docs, SF).count() > 0
+
+
+def test_media_inside_others_are_carved(spark):
+    gz = gzip.compress(b"x" * 100)
+    inner = media.store(b"ab" + gz + b"tail")
+    blob = b"junk" + media.store(b"RIFF no " + inner + b"GIF89a") + gz
+    got = [tuple(r) for r in media.carve(spark.createDataFrame([(1, blob), (None, None), (3, b"")], "doc_id long, media binary")).orderBy("start").collect()]
+    a, b, c, d = 4, 4 + 44 + 8, 4 + 44 + 8 + 44 + 2, len(blob) - len(gz)
+    want = [("wav", a, d, 0), ("wav", b, b + len(inner), 1), ("gzip", c, c + len(gz), 2), ("gzip", d, len(blob), 0)]
+    assert got == [(1, k, s, e, n, blob[s:e]) for k, s, e, n in want]
