@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import cache
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and U+0009..U+000D.
@@ -14,15 +16,32 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    A folder of our own is only taken where the setting is absent and Spark runs in this process alone,
+    as in tests and in the bench; on a cluster a missing setting is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or _own()
+
+
+@cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="spoolmill-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder that the session names in ``spark.checkpoint.dir``.
+    """Cut the lineage of ``df``: a table written to the shared folder and read back.
 
-    A folder of our own is only set where the setting is absent, as in tests on one machine.
+    Unlike after ``checkpoint()``, its size is known to the optimizer as it is. After a checkpoint, the
+    estimate of a join is the product of its sides' estimates, which in loops grows without bound.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spoolmill-"))
-    return df.checkpoint()
+    path = f"{folder(df.sparkSession)}/spoolmill-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,7 +65,7 @@ def parts(df: DataFrame) -> int:
 
 
 def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
-    """``df`` range-partitioned by ``order``, with ``_pid`` rising along it; stable because it is checkpointed.
+    """``df`` range-partitioned by ``order``, with ``_pid`` rising along it; stable because it is written.
 
     Give a tie-breaker last: rows with equal keys stay in one partition.
     """
@@ -63,3 +82,23 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFr
     base = totals.select("_pid", F.coalesce(F.sum("_sum").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     here = F.sum(value).over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return rows.join(F.broadcast(base), "_pid").withColumn(out, F.col("_base") + F.coalesce(here, F.lit(0))).drop("_pid", "_base")
+
+
+#: Keys of more rows than this are hot, and of very many rows, those above the total over ``HOT_KEYS``.
+HOT, HOT_KEYS = 1000, 20_000
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per ``key`` and in ``weight`` how many rows of
+    ``left`` have that key; ``right`` should be a written table.
+
+    The rows of hot keys stay where they are and meet a broadcast of those keys: at most ``HOT_KEYS`` of
+    them, since each has more than the total over ``HOT_KEYS`` rows.
+    """
+    total, most = right.agg(F.sum(weight), F.max(weight)).first()
+    limit = max(HOT, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return left.join(right, key)
+    hot = right.where(F.col(weight) > limit)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(weight) <= limit), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)

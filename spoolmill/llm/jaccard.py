@@ -3,22 +3,31 @@
 Every distinct shingle set is embedded as 64 minhash tokens (i, value). A run starts with all sets in
 one node; a node samples tokens' coordinates, each with probability 1 / (threshold * 64), and hands
 its sets to one child per sampled coordinate and value, so sets that share a sampled token stay
-together. Nodes of at most ``SMALL`` sets are compared by brute force, larger ones are split again,
-and runs repeat until a pair at the threshold is met with the target recall. Nodes that are still
-large at the last level hold near copies mostly: all their sets are compared with one pivot, and what
-is not like the pivot is compared with the whole node, in blocks.
-
-These comparisons use the 64 tokens and only join sets into candidate groups. Within a group, all
-sets are then compared exactly, from the texts, in blocks of bounded size; pairs are counted inside
-tasks and never emitted. Exact copies of a set are one set with a weight.
-
-Result per document: ``class_id``, the least doc_id of its connected component, and ``n_links``, how
-many other documents reach the threshold with it.
+together. Nodes of at most ``SMALL`` sets are compared by brute force. In a larger node all sets are
+compared with one of them, the pivot: sets like it are joined and leave the node, sets in between
+are also compared with those that left, and all others go on to the node's children. A set that is
+far from the pivot is far from all that left, by the triangle inequality of the Jaccard distance.
+
+Runs repeat until a pair at the threshold has met with the target recall, given the deepest level
+that was needed. After the first run the sets are labelled by the groups found so far, and a node
+whose sets are all of one group has nothing more to tell and is dropped before its sets are read.
+Nodes that are still large after ``DEPTH`` levels are compared in full, block by block.
+
+These comparisons use the 64 tokens and only join sets into candidate groups. Within a group all
+pairs are then counted exactly, from the texts, and never emitted; each text is shipped once. A group
+of at most ``BLOCK`` sets meets in one task. In a larger one, each set is described by its difference
+from the group's consensus (the shingles of more than half of a sample of its sets). Sets so close to
+it that any two of them reach the threshold (the core) are counted by one sum; only the differences
+of the others (the rim) are compared, among themselves and with the core, in blocks.
+
+Exact copies of a set are one set with a weight. Result per document: ``class_id``, the least doc_id
+of its connected component, and ``n_links``, how many other documents reach the threshold with it.
 
 Defined results: words are runs of non-space characters, lower-cased; a text of one to four words has
 one shingle, all its words. Null and blank texts have none: their class is their own doc_id and they
 have no links. Repeated rows are copies of each other. Null ids count as documents; a class of null
-ids alone has a null class_id. Empty tables give empty results. Whole texts are read.
+ids alone has a null class_id. Empty tables give empty results. Whole texts are read. Other columns
+of the input, whatever their names, are kept by ``keep_one`` and not read by ``join``.
 """
 
 from __future__ import annotations
@@ -31,14 +40,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import cut, join_spread, parts
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
-TOKENS, DEPTH, SMALL = 64, 2, 256
+TOKENS, DEPTH, SMALL = 64, 6, 256
 #: A candidate's estimate may be this much under the threshold (3.5 standard deviations of 64 tokens).
 SLACK = 0.175
 #: Sets of a candidate group that meet in one task are at most twice this many.
 BLOCK = 512
+#: About how many sets of a large group give its consensus.
+VOTERS = 32
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -174,7 +185,7 @@ def _forest(n: int, pairs: np.ndarray) -> list[int]:
 
 def _alike(threshold: float):
     """Edges to each set's root among the sets of a bucket whose tokens agree often enough; in a
-    bucket of two sides, pairs have a set of the first side."""
+    bucket of two sides, pairs are of one set of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "bucket"):
@@ -182,11 +193,13 @@ def _alike(threshold: float):
                 continue
             t = t.combine_chunks()
             sk = np.asarray(t["sk"].combine_chunks().flatten()).reshape(-1, TOKENS)
-            n, side, sids = np.asarray(t["n"]), np.asarray(t["side"]), t["sid"].to_pylist()
+            n, side, sids, cross = np.asarray(t["n"]), np.asarray(t["side"]), t["sid"].to_pylist(), t["cross"][0].as_py()
             pairs = []
             for i in range(t.num_rows - 1):
                 ok = (sk[i + 1 :] == sk[i]).mean(axis=1) >= threshold - SLACK
-                ok &= (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])) & ((side[i + 1 :] == 0) | (side[i] == 0))
+                ok &= np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])
+                if cross:
+                    ok &= side[i + 1 :] != side[i]
                 pairs += [(i, i + 1 + int(j)) for j in np.flatnonzero(ok)]
             if pairs:
                 roots = _forest(t.num_rows, np.array(pairs))
@@ -200,7 +213,7 @@ def _agreement(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda a, v: a + v) / TOKENS
 
 
-def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
+def runs_for(recall: float = RECALL, depth: int = 2) -> int:
     """Runs after which a pair at the threshold has met with probability ``recall``; a pair survives
     a level unless none of its Poisson(1) shared sampled tokens leads on."""
     q = 1.0
@@ -209,111 +222,248 @@ def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
     return ceil(log(1 - recall) / log(1 - q))
 
 
+def all_pairs(rows: DataFrame, node: str, size: Column, *carry: str) -> DataFrame:
+    """(bucket, side, cross, carry) so that any two rows (``sid``) of a node meet in one bucket of at
+    most about twice ``BLOCK`` rows; within a row's own block all pairs count, else those of two sides."""
+    nb = F.ceil(size / BLOCK)
+    each = rows.withColumn("_mine", F.pmod(F.xxhash64("sid"), nb)).withColumn("_meet", F.explode(F.sequence(F.lit(0), nb - 1)))
+    bucket = F.xxhash64(node, F.least("_mine", "_meet"), F.greatest("_mine", "_meet"))
+    return each.select(bucket.alias("bucket"), (F.col("_mine") > F.col("_meet")).cast("int").alias("side"), (F.col("_mine") != F.col("_meet")).alias("cross"), *carry)
+
+
+def two_sided(first: DataFrame, second: DataFrame, node: str, sizes: tuple[Column, Column], *carry: str) -> DataFrame:
+    """The same for pairs of a row of ``first`` and one of ``second`` in the same node."""
+    xs, ys = (F.ceil(x / BLOCK) for x in sizes)
+    one = first.select(node, F.lit(0).alias("side"), *carry, F.pmod(F.xxhash64("sid"), xs).alias("_x"), F.explode(F.sequence(F.lit(0), ys - 1)).alias("_y"))
+    two = second.select(node, F.lit(1).alias("side"), *carry, F.explode(F.sequence(F.lit(0), xs - 1)).alias("_x"), F.pmod(F.xxhash64("sid"), ys).alias("_y"))
+    return one.unionByName(two).select(F.xxhash64(node, "_x", "_y", F.lit(2)).alias("bucket"), "side", F.lit(True).alias("cross"), *carry)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(parts(rows), "bucket").sortWithinPartitions("bucket", "side", "sid")
+
+
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """Edges (a, b) that join the sets of each candidate group; ``sets`` has (sid, n, sk)."""
-    rate = max(1, round(threshold * TOKENS))  # a coordinate is sampled by one node in so many
     rng = np.random.default_rng(seed)
-    chosen = [(r, i) for r in range(runs_for(recall)) for i in np.flatnonzero(rng.integers(0, rate, TOKENS) == 0).tolist() or [int(rng.integers(0, TOKENS))]]
+    labelled = sets.select("sid", "sk", F.col("sid").alias("label"))
+    edges, done, need, deepest = None, 0, 1, 1
+    while True:
+        more, depth = _runs(sets, labelled, range(done, need), rng, threshold, seed)
+        edges = more if edges is None else edges.unionByName(more)
+        deepest = max(deepest, depth)
+        done, need = need, max(need, runs_for(recall, deepest))
+        if done == need:
+            return edges
+        edges = cut(edges)
+        group = components(edges).select(F.col("node").alias("sid"), "root")
+        labelled = cut(sets.select("sid", "sk").join(group, "sid", "left").select("sid", "sk", F.coalesce("root", "sid").alias("label")))
+
+
+def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Generator, threshold: float, seed: int) -> tuple[DataFrame, int]:
+    """The edges found by ``runs``, and the deepest level that one of them needed."""
+    rate = max(1, round(threshold * TOKENS))  # a coordinate is sampled by one node in so many
+    chosen = [(r, i) for r in runs for i in np.flatnonzero(rng.integers(0, rate, TOKENS) == 0).tolist() or [int(rng.integers(0, TOKENS))]]
     roots = F.array(*[F.xxhash64(F.lit(r), F.lit(i), F.get("sk", F.lit(i))) for r, i in chosen])
-    rows = sets.select("sid", F.explode(roots).alias("node"))
-    edges = None
+    rows = labelled.select("sid", "label", F.explode(roots).alias("node"))
+    tokens = sets.select("sid", "n", "sk")
+    found = []
 
-    def union(more: DataFrame) -> None:
-        nonlocal edges
-        edges = more if edges is None else edges.unionByName(more)
+    def compare(buckets: DataFrame) -> None:
+        near = _dealt(buckets.join(tokens, "sid"))
+        found.append(near.select("bucket", "sid", "side", "cross", "n", "sk").mapInArrow(_alike(threshold), "a binary, b binary").where("a IS NOT NULL"))
 
-    def compare(buckets: DataFrame) -> DataFrame:
-        near = buckets.join(sets.select("sid", "n", "sk"), "sid").repartition(parts(sets), "bucket").sortWithinPartitions("bucket", "side", "sid")
-        return near.select("bucket", "sid", "side", "n", "sk").mapInArrow(_alike(threshold), "a binary, b binary").where("a IS NOT NULL")
+    def union() -> DataFrame:
+        out = found[0]
+        for x in found[1:]:
+            out = out.unionByName(x)
+        return out.distinct()
 
     for level in range(1, DEPTH + 1):
-        counts = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-        rows = cut(rows.join(counts, "node"))
+        labels = F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")
+        counts = cut(rows.groupBy("node").agg(*labels).where("m > 1 AND lo <> hi").select("node", "m"))
+        rows = cut(join_spread(rows, counts, "node", "m"))
         small = rows.where(F.col("m") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
-        small = small.select("sids").distinct().select(F.xxhash64("sids").alias("bucket"), F.explode("sids").alias("sid"), F.lit(0).alias("side"))
-        union(compare(small))
-        rows = rows.where(F.col("m") > SMALL).select("node", "sid")
+        small = small.select("sids").distinct().select(F.xxhash64("sids").alias("bucket"), F.explode("sids").alias("sid"))
+        compare(small.select("bucket", "sid", F.lit(0).alias("side"), F.lit(False).alias("cross")))
+        rows = rows.where(F.col("m") > SMALL)
         if rows.isEmpty():
-            return edges
+            return union(), level
+        # the least set of a node is its pivot, so nodes of one group mostly share theirs
+        pivots = rows.groupBy("node").agg(F.min("sid").alias("pivot"), F.count("*").alias("m"))
+        about = tokens.select(F.col("sid").alias("pivot"), F.col("sk").alias("psk"))
+        pivots = cut(pivots.join(about, "pivot"))
+        like = _agreement(F.col("sk"), F.col("psk"))
+        held = join_spread(rows.select("node", "sid", "label").join(tokens.select("sid", "sk"), "sid"), pivots, "node", "m")
+        held = cut(held.select("node", "sid", "label", "sk", "pivot", like.alias("like")))
+        found.append(held.where((F.col("like") >= threshold - SLACK) & (F.col("sid") != F.col("pivot"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct())
+        gone, between = F.col("like") >= threshold, F.col("like").between(2 * threshold - 1 - 1.5 * SLACK, threshold) & (F.col("like") < threshold)
+        sizes = held.groupBy("node").agg(F.count_if(gone).alias("p"), F.count_if(between).alias("q")).where("p > 1 AND q > 0")
+        sizes = cut(sizes.withColumn("m", F.col("p") + F.col("q")))
+        if not sizes.isEmpty():
+            edge = join_spread(held.where(gone | between).select("node", "sid", "like"), sizes, "node", "m")
+            compare(two_sided(edge.where(between), edge.where(gone), "node", (F.col("q"), F.col("p")), "sid"))
+        rest = held.where(~gone)
+        if rest.isEmpty():
+            return union(), level
         if level < DEPTH:
-            up = rows.join(sets.select("sid", "sk"), "sid")
             picked = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.pmod(F.xxhash64(F.col("node"), i, F.lit(seed)), F.lit(rate)) == 0)
-            rows = up.select("sid", F.explode(F.transform(picked, lambda i: F.xxhash64(F.col("node"), i, F.get(F.col("sk"), i)))).alias("node"))
-    pivots = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "sid").alias("h"), "sid"))["sid"].alias("pivot"), F.count("*").alias("m"))
-    about = sets.select(F.col("sid").alias("pivot"), F.col("sk").alias("psk"))
-    held = rows.join(sets.select("sid", "sk"), "sid").join(pivots.join(about, "pivot"), "node")
-    held = cut(held.select("node", "sid", "m", "pivot", (_agreement(F.col("sk"), F.col("psk")) >= threshold - SLACK).alias("near")))
-    union(held.where("near AND sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct())
-    rest = held.where("NOT near")
-    if not rest.isEmpty():
-        # unlike the pivot: block by block against the whole node
-        few = rest.groupBy("node").agg(F.count("*").alias("q"))
-        blocks = held.join(few, "node").withColumn("qs", F.ceil(F.col("q") / BLOCK)).withColumn("ms", F.ceil(F.col("m") / BLOCK))
-        first = blocks.where("NOT near").select("sid", F.lit(0).alias("side"), "node", F.pmod(F.xxhash64("sid"), "qs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("y"))
-        other = blocks.where("near").select("sid", F.lit(1).alias("side"), "node", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("x"), F.pmod(F.xxhash64("sid"), "ms").alias("y"))
-        across = blocks.where("NOT near AND qs > 1").select("sid", F.lit(1).alias("side"), "node", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("x"), F.pmod(F.xxhash64("sid"), "ms").alias("y"))
-        union(compare(first.unionByName(other).unionByName(across).select(F.xxhash64("node", "x", "y").alias("bucket"), "sid", "side")))
-    return edges
+            rows = rest.select("sid", "label", F.explode(F.transform(picked, lambda i: F.xxhash64(F.col("node"), i, F.get(F.col("sk"), i)))).alias("node"))
+        else:
+            left = cut(rest.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
+            compare(all_pairs(join_spread(rest.select("node", "sid"), left, "node", "m"), "node", F.col("m"), "sid"))
+    return union(), DEPTH
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with ``m``, the least of a and its neighbours b."""
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")))
+    return join_spread(edges, least.select("a", F.least("a", "m").alias("m"), "_n"), "a", "_n")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the least node of its component.
 
-    Large-star and small-star steps alternate until nothing changes; each is one aggregation and one
-    join of edges, checkpointed.
+    Large-star and small-star steps alternate until all edges lead from a node to its root; each is one
+    aggregation and one join of edges, checkpointed. Nodes of very many edges are joined apart.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while not e.isEmpty():
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        new = cut(small)
-        if e.exceptAll(new).isEmpty() and new.exceptAll(e).isEmpty():
+    ends = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    e = cut(edges.where("a <> b").select(*ends).distinct())
+    while True:
+        seen = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if seen.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
             break
-        e = new
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = cut(_with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        small = _with_least(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        e = cut(small.select("x.*").where("a <> b").distinct())
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _exact(threshold: float, words: int):
-    """For one block pair: links by weight and the root of each set, from the whole texts."""
+def _count(sizes: np.ndarray, deltas: list[np.ndarray], threshold: float, side: np.ndarray | None) -> np.ndarray:
+    """Which of some sets are linked, from their sizes and their differences from one common set."""
+    m, d = len(deltas), np.array([len(x) for x in deltas], float)
+    shared = np.zeros((m, m), np.float32)
+    values, column, often = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), [len(x) for x in deltas])
+    twice = often > 1  # what one set alone has is shared with none
+    place = np.cumsum(twice) - 1
+    kept = twice[column]
+    column, owner = place[column[kept]], owner[kept]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    width = max(64, (1 << 23) // m)
+    for c in range(0, int(twice.sum()), width):
+        lo, hi = np.searchsorted(column, [c, c + width])
+        dense = np.zeros((m, int(min(width, twice.sum() - c))), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - c] = 1
+        shared += dense @ dense.T
+    total = sizes[:, None] + sizes[None, :]
+    common = (total - d[:, None] - d[None, :]) / 2 + shared
+    linked = common >= threshold * (total - common) - 1e-6
+    np.fill_diagonal(linked, False)
+    if side is not None:
+        linked &= side[:, None] != side[None, :]
+    return linked
+
+
+LINKS = "a binary, b binary, links bigint"
+
+
+def _linked(threshold: float, words: int = 0):
+    """Links by weight and the root of each set of a bucket: from whole texts if ``words`` is given,
+    else from differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle = Shingler(words) if words else None
         for t in grouped(batches, "bucket"):
             members = {}
-            for sid, w, part, text in zip(t["sid"].to_pylist(), t["w"].to_pylist(), t["part"].to_pylist(), t["text"].to_pylist(), strict=True):
-                if sid not in members and set_id(s := shingle(text)) == sid:
-                    members[sid] = (w, part, s)
+            what = t["text"] if words else t["delta"]
+            for sid, w, n, side, x in zip(t["sid"].to_pylist(), t["w"].to_pylist(), t["n"].to_pylist(), t["side"].to_pylist(), what, strict=True):
+                if sid not in members:
+                    x = x.as_py()
+                    x = shingle(x) if words else np.frombuffer(x, np.uint64)
+                    if not words or set_id(x) == sid:
+                        members[sid] = (w, n, side, x)
             if len(members) < 2:
                 continue
-            sids, (ws, sides, sets) = list(members), zip(*members.values(), strict=True)
-            m, sizes, w, side = len(sids), np.array([len(s) for s in sets], np.float32), np.array(ws, np.int64), np.array(sides)
-            owner = np.repeat(np.arange(m), [len(s) for s in sets])
-            values, column = np.unique(np.concatenate(sets), return_inverse=True)
-            shared = np.zeros((m, m), np.float32)
-            width = max(64, (1 << 23) // m)
-            order = np.argsort(column, kind="stable")
-            column, owner = column[order], owner[order]
-            for c in range(0, len(values), width):
-                lo, hi = np.searchsorted(column, [c, c + width])
-                dense = np.zeros((m, min(width, len(values) - c)), np.float32)
-                dense[owner[lo:hi], column[lo:hi] - c] = 1
-                shared += dense @ dense.T
-            linked = shared >= np.float32(threshold) * (sizes[:, None] + sizes[None, :] - shared) - np.float32(1e-3)
-            np.fill_diagonal(linked, False)
-            if side.min() != side.max():
-                linked &= side[:, None] != side[None, :]
-            roots = _forest(m, np.argwhere(np.triu(linked)))
-            links = linked @ w
-            keep = [i for i in range(m) if links[i]]
+            sids, (ws, ns, sides, deltas) = list(members), zip(*members.values(), strict=True)
+            linked = _count(np.array(ns, float), deltas, threshold, np.array(sides) if t["cross"][0].as_py() else None)
+            roots, links = _forest(len(sids), np.argwhere(np.triu(linked))), linked @ np.array(ws, np.int64)
+            keep = [i for i in range(len(sids)) if links[i]]
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array([sids[i] for i in keep], pa.binary()), pa.array([sids[roots[i]] for i in keep], pa.binary()), pa.array([int(links[i]) for i in keep], pa.int64())], ["a", "b", "links"])
 
     return run
 
 
+def _consensus(words: int):
+    """For each ``bucket``, the sorted shingles of more than half of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for t in grouped(batches, "bucket"):
+            values, often = np.unique(np.concatenate([shingle(x.as_py()) for x in t["text"]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([t["root"].combine_chunks()[:1], pa.array([values[2 * often > t.num_rows].tobytes()], pa.binary())], ["root", "pivot"])
+
+    return run
+
+
+DELTAS = "root binary, sid binary, w bigint, n int, d int, delta binary"
+
+
+def _deltas(words: int):
+    """Each set's difference from its group's consensus, which comes first in a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, none = Shingler(words), np.empty(0, np.uint64)
+        at, pivot = None, none
+        for batch in batches:
+            out = []
+            for bucket, root, sid, w, known, text in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
+                if bucket != at:
+                    at, pivot = bucket, none
+                if known is not None:
+                    pivot = np.frombuffer(known, np.uint64)
+                elif set_id(s := shingle(text.as_py())) == sid:
+                    delta = np.setxor1d(s, pivot, assume_unique=True)
+                    out.append((root, sid, w, len(s), len(delta), delta.tobytes()))
+            if out:
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in DELTAS.split(", ")])
+
+    return run
+
+
+def _links(texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(a, b, links): for each linked set a, a set b of its component and links by weight (summed over
+    the rows of a). ``texts`` has (root, size, sid, w, n, text), one row per set of a group."""
+    flags = F.lit(0).alias("side"), F.lit(False).alias("cross")
+    small = texts.where(F.col("size") <= BLOCK).select(F.col("root").alias("bucket"), *flags, "sid", "w", "n", "text")
+    found = _dealt(small).mapInArrow(_quiet(_linked(threshold, words)), LINKS)
+    large = texts.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return found
+    voters = large.where(F.pmod(F.xxhash64("sid", F.lit(5)), F.col("size")) < VOTERS)
+    votes = voters.select(F.xxhash64("root").alias("bucket"), "root", *flags, "sid", "text")
+    pivots = cut(_dealt(votes).mapInArrow(_quiet(_consensus(words)), "root binary, pivot binary"))
+    salts = F.ceil(F.col("size") / BLOCK)
+    sizes = large.select("root", "size").distinct()
+    first = pivots.join(sizes, "root").select(F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "root", F.lit(None).cast("binary").alias("sid"), F.lit(0).cast("long").alias("w"), "pivot", F.lit(None).cast("string").alias("text"))
+    rows = first.unionByName(large.select(F.pmod(F.xxhash64("sid"), salts).alias("salt"), "root", "sid", "w", F.lit(None).cast("binary").alias("pivot"), "text"))
+    rows = rows.select(F.xxhash64("root", "salt").alias("bucket"), "root", "sid", "w", "pivot", "text")
+    # nulls sort first, so a bucket begins with its group's consensus
+    deltas = cut(rows.repartition(parts(rows), "bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_quiet(_deltas(words)), DELTAS))
+    core = F.col("d") * (1 + threshold) <= F.col("n") * (1 - threshold) + 1e-9
+    about = deltas.groupBy("root").agg(F.sum(F.when(core, F.col("w")).otherwise(0)).alias("weight"), F.min(F.when(core, F.col("sid"))).alias("least"), F.count_if(core).alias("p"), F.count_if(~core).alias("q"), F.count("*").alias("_n"))
+    each = cut(join_spread(deltas, cut(about), "root", "_n"))
+    found = found.unionByName(each.where(core & (F.col("p") > 1)).select(F.col("sid").alias("a"), F.col("least").alias("b"), (F.col("weight") - F.col("w")).alias("links")))
+    carry = ("sid", "w", "n", "delta")
+    rim = all_pairs(each.where(~core), "root", F.col("q"), *carry)
+    rim = rim.unionByName(two_sided(each.where(~core & (F.col("p") > 0)), each.where(core & (F.col("q") > 0)), "root", (F.col("q"), F.col("p")), *carry))
+    return found.unionByName(_dealt(rim).mapInArrow(_quiet(_linked(threshold)), LINKS))
+
+
 def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, text_key, class_key), one row per row of ``df`` (doc_id, text).
 
@@ -322,30 +472,24 @@ def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall
     docs = cut(sketches(df, words))
     sets = docs.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     sets = cut(sets)
-    edges = candidates(sets, threshold, recall)
-    group = cut(components(edges))
-    size = group.groupBy("root").agg(F.count("*").alias("size"))
-    member = group.join(size, "root").withColumnRenamed("node", "sid").join(sets.select("sid", "row", "w"), "sid")
-    nb = F.ceil(F.col("size") / BLOCK)
-    mine = F.pmod(F.xxhash64("sid"), nb)
-    member = member.withColumn("nb", nb).withColumn("mine", mine)
+    group = cut(components(candidates(sets, threshold, recall)))
+    size = cut(group.groupBy("root").agg(F.count("*").alias("size")))
+    member = join_spread(group, size, "root", "size").withColumnRenamed("node", "sid").join(sets.select("sid", "row", "w", "n"), "sid")
     # a set fetches the text of one row; the id alone may be null or repeated
     text = df.select(F.col("doc_id").cast("long").alias("_doc"), text_key(F.col("text")).alias("_key"), "text")
     texts = text.join(member, (F.col("_key") == F.col("row.text_key")) & F.col("_doc").eqNullSafe(F.col("row.doc_id")))
-    spread = texts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    # a set meets block j; within its own block all pairs count, else only pairs of two blocks
-    bucket = F.xxhash64("root", F.least("mine", "j"), F.greatest("mine", "j"))
-    part = F.when(F.col("mine") > F.col("j"), 1).otherwise(0)
-    near = spread.select(bucket.alias("bucket"), "sid", "w", part.alias("part"), "text").repartition(parts(df), "bucket").sortWithinPartitions("bucket")
-    found = cut(near.mapInArrow(_quiet(_exact(threshold, words)), "a binary, b binary, links bigint"))
+    texts = cut(texts.select("root", "size", "sid", "w", "n", "text"))
+    found = cut(_links(texts, threshold, words))
     links = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     own = cut(components(found.select("a", "b")))
-    first = own.join(sets.select(F.col("sid").alias("node"), "doc"), "node").groupBy("root").agg(F.min("doc").alias("class_doc"))
-    known = own.join(first, "root").select(F.col("node").alias("sid"), "root", "class_doc").join(links, "sid", "left")
+    least = own.join(sets.select(F.col("sid").alias("node"), "doc"), "node").groupBy("root").agg(F.min("doc").alias("class_doc"), F.count("*").alias("_n"))
+    known = join_spread(own, cut(least), "root", "_n").select(F.col("node").alias("sid"), "root", "class_doc").join(links, "sid", "left")
     table = sets.select("sid", "doc", "w").join(known, "sid", "left")
-    table = table.select("sid", F.coalesce("root", "sid").alias("class_key"), F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("class_doc")).alias("class_id"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = docs.select("doc_id", "text_key", "sid").join(table, "sid", "left")
-    return out.select("doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", "class_key")
+    table = table.select("sid", "w", F.coalesce("root", "sid").alias("class_key"), F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("class_doc")).alias("class_id"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = join_spread(docs.where("sid IS NOT NULL").select("doc_id", "text_key", "sid"), cut(table), "sid", "w")
+    out = out.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "text_key", "class_key")
+    none = docs.where("sid IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_key", F.lit(None).cast("binary").alias("class_key"))
+    return out.unionByName(none)
 
 
 def keep_one(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
@@ -353,11 +497,11 @@ def keep_one(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, re
     Texts without words all stay. The columns are those of ``df``."""
     joined = cut(join(df, threshold, words, recall))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
-    won = joined.where("class_key IS NOT NULL").groupBy("class_key").agg(best).select(F.col("best.doc_id").alias("_doc"), F.col("best.text_key").alias("_key"))
-    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_key"))
-    keyed = df.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", text_key(F.col("text")))
+    won = joined.where("class_key IS NOT NULL").groupBy("class_key").agg(best).select(F.col("best.doc_id").alias("won_doc"), F.col("best.text_key").alias("won_key"))
     blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
+    keyed = df.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"), blank.alias("blank"))
+    same = F.col("id").eqNullSafe(F.col("won_doc")) & (F.col("key") == F.col("won_key"))
     # repeated rows are numbered among themselves; others are alone in their group
-    first = Window.partitionBy("_id", "_text").orderBy("_text")
-    kept = keyed.where(~blank).join(won, same, "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return kept.unionByName(keyed.where(blank)).drop("_id", "_text")
+    first = Window.partitionBy("id", "key").orderBy("key")
+    kept = keyed.where("NOT blank").join(won, same, "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1")
+    return kept.select("row.*").unionByName(keyed.where("blank").select("row.*"))

@@ -170,7 +170,7 @@ def test_near_duplicates_against_brute_force(spark, docs, monkeypatch):
 
 @pytest.mark.parametrize("doc_id", [None, 7])
 def test_sets_of_one_id_fetch_only_their_own_texts(spark, monkeypatch, tmp_path, doc_id):
-    exact = jaccard._exact
+    exact = jaccard._linked
 
     def counted(*a):
         run = exact(*a)
@@ -182,7 +182,7 @@ def test_sets_of_one_id_fetch_only_their_own_texts(spark, monkeypatch, tmp_path,
 
         return lambda batches: run(seen(batches))
 
-    monkeypatch.setattr(jaccard, "_exact", counted)
+    monkeypatch.setattr(jaccard, "_linked", counted)
     rows = [(doc_id, " ".join([*(f"w{i}" for i in range(120)), f"k{k}"])) for k in range(40)]
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.class_id, r.n_links) for r in got] == [(doc_id, 39)] * 40
