@@ -7,11 +7,13 @@ together. Nodes of at most ``SMALL`` sets are compared by brute force. In a larg
 compared with one of them, the pivot: sets like it are joined and leave the node, sets in between
 are also compared with those that left, and all others go on to the node's children. A set that is
 far from the pivot is far from all that left, by the triangle inequality of the Jaccard distance.
+Below the root tokens are sampled ``BRANCH`` times as often, so that a pair's chance to stay together
+hardly falls with depth. The recursion ends when comparing all pairs of the nodes that are left, in
+blocks, ships at most ``FULL`` times as many rows as there are sets (at the latest after ``DEPTH``).
 
-Runs repeat until a pair at the threshold has met with the target recall, given the deepest level
-that was needed. After the first run the sets are labelled by the groups found so far, and a node
-whose sets are all of one group has nothing more to tell and is dropped before its sets are read.
-Nodes that are still large after ``DEPTH`` levels are compared in full, block by block.
+Runs repeat until a pair at the threshold has met with the target recall. After the first run the
+sets are labelled by the groups found so far, and a node whose sets are all of one group has nothing
+more to tell and is dropped before its sets are read.
 
 These comparisons use the 64 tokens and only join sets into candidate groups. Within a group all
 pairs are then counted exactly, from the texts, and never emitted; each text is shipped once. A group
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import cut, join_spread, parts
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
-TOKENS, DEPTH, SMALL = 64, 6, 256
+TOKENS, DEPTH, SMALL, BRANCH, FULL = 64, 12, 256, 1.5, 2
 #: A candidate's estimate may be this much under the threshold (3.5 standard deviations of 64 tokens).
 SLACK = 0.175
 #: Sets of a candidate group that meet in one task are at most twice this many.
@@ -213,13 +215,14 @@ def _agreement(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda a, v: a + v) / TOKENS
 
 
-def runs_for(recall: float = RECALL, depth: int = 2) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall``; a pair survives
-    a level unless none of its Poisson(1) shared sampled tokens leads on."""
+def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has met with probability ``recall``. A pair survives a
+    level unless none of its shared sampled tokens leads on: Poisson(1) of them at the root, Poisson
+    (``BRANCH``) below."""
     q = 1.0
-    for _ in range(depth):
-        q = 1 - exp(-q)
-    return ceil(log(1 - recall) / log(1 - q))
+    for _ in range(depth - 1):
+        q = 1 - exp(-BRANCH * q)
+    return ceil(log(1 - recall) / log(exp(-q)))
 
 
 def all_pairs(rows: DataFrame, node: str, size: Column, *carry: str) -> DataFrame:
@@ -245,29 +248,21 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """Edges (a, b) that join the sets of each candidate group; ``sets`` has (sid, n, sk)."""
-    rng = np.random.default_rng(seed)
-    labelled = sets.select("sid", "sk", F.col("sid").alias("label"))
-    edges, done, need, deepest = None, 0, 1, 1
-    while True:
-        more, depth = _runs(sets, labelled, range(done, need), rng, threshold, seed)
-        edges = more if edges is None else edges.unionByName(more)
-        deepest = max(deepest, depth)
-        done, need = need, max(need, runs_for(recall, deepest))
-        if done == need:
-            return edges
-        edges = cut(edges)
-        group = components(edges).select(F.col("node").alias("sid"), "root")
-        labelled = cut(sets.select("sid", "sk").join(group, "sid", "left").select("sid", "sk", F.coalesce("root", "sid").alias("label")))
-
-
-def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Generator, threshold: float, seed: int) -> tuple[DataFrame, int]:
-    """The edges found by ``runs``, and the deepest level that one of them needed."""
+    rng, labelled = np.random.default_rng(seed), sets.select("sid", "sk", F.col("sid").alias("label"))
+    first = cut(_runs(sets, labelled, range(1), rng, threshold, seed))
+    group = components(first).select(F.col("node").alias("sid"), "root")
+    labelled = cut(sets.select("sid", "sk").join(group, "sid", "left").select("sid", "sk", F.coalesce("root", "sid").alias("label")))
+    return first.unionByName(_runs(sets, labelled, range(1, runs_for(recall)), rng, threshold, seed))
+
+
+def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Generator, threshold: float, seed: int) -> DataFrame:
+    """The edges found by ``runs``."""
     rate = max(1, round(threshold * TOKENS))  # a coordinate is sampled by one node in so many
     chosen = [(r, i) for r in runs for i in np.flatnonzero(rng.integers(0, rate, TOKENS) == 0).tolist() or [int(rng.integers(0, TOKENS))]]
     roots = F.array(*[F.xxhash64(F.lit(r), F.lit(i), F.get("sk", F.lit(i))) for r, i in chosen])
     rows = labelled.select("sid", "label", F.explode(roots).alias("node"))
     tokens = sets.select("sid", "n", "sk")
-    found = []
+    found, total = [], sets.count()
 
     def compare(buckets: DataFrame) -> None:
         near = _dealt(buckets.join(tokens, "sid"))
@@ -287,8 +282,11 @@ def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Gene
         small = small.select("sids").distinct().select(F.xxhash64("sids").alias("bucket"), F.explode("sids").alias("sid"))
         compare(small.select("bucket", "sid", F.lit(0).alias("side"), F.lit(False).alias("cross")))
         rows = rows.where(F.col("m") > SMALL)
-        if rows.isEmpty():
-            return union(), level
+        ships = counts.where(F.col("m") > SMALL).agg(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK))).first()[0]
+        if ships is not None and (ships <= FULL * total or level == DEPTH):
+            compare(all_pairs(rows.select("node", "sid", "m"), "node", F.col("m"), "sid"))
+        if ships is None or ships <= FULL * total or level == DEPTH:
+            return union()
         # the least set of a node is its pivot, so nodes of one group mostly share theirs
         pivots = rows.groupBy("node").agg(F.min("sid").alias("pivot"), F.count("*").alias("m"))
         about = tokens.select(F.col("sid").alias("pivot"), F.col("sk").alias("psk"))
@@ -296,23 +294,18 @@ def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Gene
         like = _agreement(F.col("sk"), F.col("psk"))
         held = join_spread(rows.select("node", "sid", "label").join(tokens.select("sid", "sk"), "sid"), pivots, "node", "m")
         held = cut(held.select("node", "sid", "label", "sk", "pivot", like.alias("like")))
-        found.append(held.where((F.col("like") >= threshold - SLACK) & (F.col("sid") != F.col("pivot"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct())
-        gone, between = F.col("like") >= threshold, F.col("like").between(2 * threshold - 1 - 1.5 * SLACK, threshold) & (F.col("like") < threshold)
+        gone = F.col("like") >= threshold - SLACK
+        between = ~gone & (F.col("like") >= 2 * threshold - 1 - 1.5 * SLACK)
+        found.append(held.where(gone & (F.col("sid") != F.col("pivot"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct())
         sizes = held.groupBy("node").agg(F.count_if(gone).alias("p"), F.count_if(between).alias("q")).where("p > 1 AND q > 0")
         sizes = cut(sizes.withColumn("m", F.col("p") + F.col("q")))
         if not sizes.isEmpty():
             edge = join_spread(held.where(gone | between).select("node", "sid", "like"), sizes, "node", "m")
             compare(two_sided(edge.where(between), edge.where(gone), "node", (F.col("q"), F.col("p")), "sid"))
-        rest = held.where(~gone)
-        if rest.isEmpty():
-            return union(), level
-        if level < DEPTH:
-            picked = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.pmod(F.xxhash64(F.col("node"), i, F.lit(seed)), F.lit(rate)) == 0)
-            rows = rest.select("sid", "label", F.explode(F.transform(picked, lambda i: F.xxhash64(F.col("node"), i, F.get(F.col("sk"), i)))).alias("node"))
-        else:
-            left = cut(rest.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
-            compare(all_pairs(join_spread(rest.select("node", "sid"), left, "node", "m"), "node", F.col("m"), "sid"))
-    return union(), DEPTH
+        rest, often = held.where(~gone), round(1000 * BRANCH / rate)
+        picked = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.pmod(F.xxhash64(F.col("node"), i, F.lit(seed)), F.lit(1000)) < often)
+        rows = rest.select("sid", "label", F.explode(F.transform(picked, lambda i: F.xxhash64(F.col("node"), i, F.get(F.col("sk"), i)))).alias("node"))
+    return union()
 
 
 def _with_least(edges: DataFrame) -> DataFrame:

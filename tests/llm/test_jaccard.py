@@ -63,6 +63,7 @@ def test_large_groups_links_and_recall(spark, planted, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 32)
     monkeypatch.setattr(jaccard, "BLOCK", 64)
     monkeypatch.setattr(common, "HOT", 50)
+    monkeypatch.setattr(jaccard, "FULL", 0.5)  # so that the recursion goes deep
     df = spark.createDataFrame(planted, "doc_id long, text string").repartition(6)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(df).collect()}
     ids, texts = zip(*planted, strict=True)
@@ -77,4 +78,4 @@ def test_large_groups_links_and_recall(spark, planted, monkeypatch):
 
 
 def test_runs_repeat_until_the_recall():
-    assert jaccard.runs_for(0.99, 1) == 5 and jaccard.runs_for(0.99, 2) == 8 and jaccard.runs_for(0.9, 6) == 11
+    assert jaccard.runs_for(0.99, 1) == 5 and jaccard.runs_for(0.99, 2) == 6 and jaccard.runs_for(0.99, 12) == jaccard.runs_for(0.99, 40) == 8
