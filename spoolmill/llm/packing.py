@@ -3,9 +3,12 @@
 An online packer keeps a level array: how many open windows are filled to each level. A piece goes
 to the level (or a new window) that minimises the sum of the squared counts of partially filled
 windows afterwards; ties go to the fullest. Pieces longer than a window are cut into full windows
-first. Open windows are bounded: when there are too many, and at the end of a partition, the pieces
-of the open windows are laid end to end and cut at window borders, so a partition leaves at most one
-window unfilled.
+first. The rule places every piece of a partition. Only at its end, when no piece can come any more,
+are the windows still open laid end to end and cut at window borders, so that a partition leaves at
+most one window unfilled. Open windows hold two bytes a token (four for vocabularies of more than 65,536
+ids), so a task's memory is bounded by its input split.
+
+The result has the columns of :data:`SCHEMA` alone; other columns of the input are not read.
 
 Defined results: a null text is empty and packs as its end id alone. Every row is packed, repeated
 rows and null ids included. Empty tables give empty results. Whole texts are tokenised. A lost task
@@ -26,8 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, END = 2048, 1
-#: Windows kept open in one task before they are closed by cutting; about 8 kB each.
-OPEN = 2048
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Marks that end a chunk and then are one piece of the vocabulary's pattern.
 _PUNCTUATION = ".,;:!?%&*#$|)\""
@@ -102,11 +103,10 @@ class SumOfSquares:
     """One task's packer. ``put`` and ``close`` yield finished pieces as
     (doc, start, ids, doc_tokens, sequence, offset)."""
 
-    def __init__(self, first: int, window: int = WINDOW, most_open: int = OPEN):
-        self.window, self.next, self.most = window, first, most_open
+    def __init__(self, first: int, window: int = WINDOW):
+        self.window, self.next = window, first
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
-        self.opened = 0
 
     def _sequence(self) -> int:
         self.next += 1
@@ -119,7 +119,8 @@ class SumOfSquares:
             yield doc, s, ids[s : s + w], n, self._sequence(), 0
         if n == whole:
             return
-        size, piece = n - whole, (doc, whole, ids[whole:], n)
+        rest = ids[whole:]
+        size, piece = n - whole, (doc, whole, rest.astype(np.uint16) if rest.max() < 1 << 16 else rest.copy(), n)
         count = self.count
         levels = np.flatnonzero(count[: w - size + 1])  # level 0 is always empty
         best, level = 2 * count[size] + 1, 0
@@ -132,7 +133,6 @@ class SumOfSquares:
         if level:
             pieces = self.open[level].pop()
             count[level] -= 1
-            self.opened -= 1
         else:
             pieces = []
         pieces.append(piece)
@@ -142,9 +142,6 @@ class SumOfSquares:
         else:
             self.open[level].append(pieces)
             count[level] += 1
-            self.opened += 1
-            if self.opened > self.most:
-                yield from self.close()
 
     def _emit(self, pieces: list) -> Iterator[tuple]:
         sequence, offset = self._sequence(), 0
@@ -170,7 +167,6 @@ class SumOfSquares:
         if batch:
             yield from self._emit(batch)
         self.count[:] = 0
-        self.opened = 0
 
 
 def pack(df: DataFrame, tokenizer: str, text: str = "text", doc: str = "doc_id", *, window: int = WINDOW, end: int = END, remember: int = 400_000) -> DataFrame:
@@ -184,7 +180,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc: str = "doc_id",
 
         def rows(pieces) -> Iterator[tuple]:
             for d, start, ids, n, sequence, offset in pieces:
-                yield d, start, len(ids), zlib.crc32(ids.tobytes()), n, sequence, offset
+                yield d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, sequence, offset
 
         def table(got: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names)
