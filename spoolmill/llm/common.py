@@ -49,6 +49,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Elements that a scan folds at once; arrays are copied within such a block only.
+_FOLD = 256
+
+
+def scan(xs: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each element of ``xs``, ``add`` over all before it, from ``zero``: in blocks and then over the
+    blocks, so that time grows little faster than the array."""
+
+    def fold(items: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.filter(F.array(zero), lambda _: F.lit(False)).alias("out"))
+        return F.aggregate(items, start, lambda a, x: F.struct(add(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def whole(inner: Column) -> Column:
+        offsets = fold(F.transform(inner, lambda x: x["at"]))["out"]
+        return F.flatten(F.zip_with(inner, offsets, lambda x, o: F.transform(x["out"], lambda v: add(o, v))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _FOLD).cast("int")), lambda b: F.slice(xs, b * _FOLD + 1, F.lit(_FOLD)))
+    return F.when(F.size(xs) == 0, F.filter(F.array(zero), lambda _: F.lit(False))).otherwise(let(F.transform(blocks, fold), whole))
+
+
+#: Characters of a block of a cut text.
+_CUT = 1024
+
+
+def cut_up(text: Column) -> Column:
+    """``text`` as an array of blocks, for :func:`between`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+
+
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to before ``end`` of a text that was :func:`cut_up`, without
+    counting from its beginning."""
+    i, j = F.floor(start / _CUT).cast("int"), F.floor((end - 1) / _CUT).cast("int")
+    first = F.substring(F.get(blocks, i), start - i * _CUT + 1, F.lit(_CUT))
+    middle = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    last = F.substring(F.get(blocks, j), F.lit(1), end - j * _CUT)
+    one = F.substring(F.get(blocks, i), start - i * _CUT + 1, end - start)
+    return F.when(end <= start, "").when(i == j, one).otherwise(F.concat(first, middle, last))
+
+
 def settle(df: DataFrame, *names: str) -> DataFrame:
     """``df`` with the columns ``names`` evaluated once per row, last in order.
 

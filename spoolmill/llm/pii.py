@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak
-from .common import cut, let, settle
+from .common import between, cut, cut_up, let, scan, settle
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "name", "national_id", "secret")
@@ -116,20 +116,22 @@ def _candidates(t: Column, kind: str, pattern: str, hint: str | None, base: bool
     none = F.array().cast(_SPAN)
 
     def place(found: Column) -> Column:
-        def walk(pieces: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                s = acc["at"] + F.length(pieces[i])
-                m = found[i]
-                e = s + F.length(m)
-                before = F.substring(t, F.greatest(s - 29, F.lit(1)), F.least(s, F.lit(30)))
-                around = F.when(F.concat(F.substring(t, F.greatest(s, F.lit(1)), F.least(s, F.lit(1))), F.substring(t, e + 1, 1)).rlike("[A-Za-z0-9]"), -1).otherwise(1)
+        def at(pieces: Column, starts: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                # context reaches back to the start of the match before, and on to the end of the next
+                before = F.right(F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(""), pieces[i]), F.lit(30))
+                after = F.concat(pieces[i + 1], F.coalesce(F.get(found, i + 1), F.lit("")))
+                around = F.when(F.concat(F.right(before, F.lit(1)), F.left(after, F.lit(1))).rlike("[A-Za-z0-9]"), -1).otherwise(1)
                 votes = F.array(_strict(kind, m), _known(kind, m), F.when(before.rlike(CUES), 1).when(before.rlike(AGAINST), -1).otherwise(0), around)
-                span = F.struct(number.alias("kind"), s.alias("s"), e.alias("e"), F.lit(base).alias("base"), votes.alias("votes"), F.length(m).alias("size"))
-                ok = _valid(kind, m) if base else F.lit(True)
-                return F.struct(e.alias("at"), F.when(ok, F.concat(acc["out"], F.array(span).cast(_SPAN))).otherwise(acc["out"]).alias("out"))
+                s = starts[i] + F.length(pieces[i])
+                return F.struct(number.alias("kind"), s.alias("s"), (s + F.length(m)).alias("e"), F.lit(base).alias("base"), votes.alias("votes"), F.length(m).alias("size"), (_valid(kind, m) if base else F.lit(True)).alias("ok"))
+
+            kept = F.filter(F.transform(found, span), lambda x: x["ok"])
+            return F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "s", "e", "base", "votes", "size")]))
 
-            start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
+        def walk(pieces: Column) -> Column:
+            steps = F.transform(found, lambda m, i: F.length(pieces[i]) + F.length(m))
+            return let(scan(steps, F.lit(0), lambda a, x: a + x), lambda starts: at(pieces, starts)).cast(_SPAN)
 
         return F.when(F.size(found) == 0, none).otherwise(let(F.split(t, pattern), walk))
 
@@ -147,10 +149,25 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_b", F.concat(*[_candidates(t, k, p, h, True) for k, (p, h) in BASE.items()]))
     df = df.withColumn("_m", F.concat(*[_candidates(t, k, p, HINT[k], False) for k, p in MORE.items()]))
-    more = F.when(F.size("_m") == 0, F.col("_m")).otherwise(F.filter("_m", lambda x: ~F.exists("_b", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
+    more = F.when((F.size("_m") == 0) | (F.size("_b") == 0), F.col("_m")).otherwise(_apart(F.col("_m"), F.col("_b")))
     return settle(df.withColumn("found", F.sort_array(F.concat("_b", more))).drop("_b", "_m"), "found")
 
 
+def _apart(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base``: by start, the ends of base spans so far and
+    the start of the next base span are carried along."""
+    far = F.lit(2**31 - 1)
+    by_start = F.sort_array(F.transform(F.concat(base, more), lambda x: F.struct(x["s"].alias("s"), (~x["base"]).alias("extra"), x.alias("x"))))
+
+    def sweep(xs: Column) -> Column:
+        ends = scan(F.transform(xs, lambda y: F.when(y["extra"], 0).otherwise(y["x"]["e"])), F.lit(0), F.greatest)
+        nexts = F.reverse(scan(F.reverse(F.transform(xs, lambda y: F.when(y["extra"], far).otherwise(y["s"]))), far, F.least))
+        seen = F.zip_with(F.arrays_zip(xs.alias("y"), ends.alias("end")), nexts, lambda a, n: F.struct(a["y"]["x"].alias("x"), (a["y"]["extra"] & (a["end"] <= a["y"]["s"]) & (n >= a["y"]["x"]["e"])).alias("ok")))
+        return F.transform(F.filter(seen, lambda a: a["ok"]), lambda a: a["x"])
+
+    return let(by_start, sweep)
+
+
 def train(found: DataFrame, *, rounds: int = 25) -> Column:
     """Fit the labelers' reliabilities and the span classifier on all ``found``; returns a function
     from a span to its probability of being personal data."""
@@ -212,17 +229,17 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     first one's kind. Null texts stay null; other columns are unchanged."""
     out = detect(df, text)
     t = F.col(text)
+    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["s"] < acc["at"]
-        gap = F.substring(t, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.concat(gap, F.lit("<"), F.upper(name_of(x["kind"])), F.lit(">"))))).alias("out"),
-        )
+    def parts_of(spans: Column) -> Column:
+        ends = scan(F.transform(spans, lambda x: x["e"]), F.lit(0), F.greatest)
+        marked = F.filter(F.zip_with(spans, ends, lambda x, at: F.struct(x.alias("x"), at.alias("at"))), lambda y: y["x"]["s"] >= y["at"])
+        last = F.array_max(F.transform(spans, lambda x: x["e"]))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    # Columns, not literals, may set the bounds of substring; it counts code points.
-    new = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
-    return out.withColumn(text, F.when(F.size("spans") > 0, new).otherwise(t)).drop("spans")
+        def text_of(blocks: Column) -> Column:
+            said = F.transform(marked, lambda y: F.concat(between(blocks, y["at"], y["x"]["s"]), F.lit("<"), F.upper(name_of(y["x"]["kind"])), F.lit(">")))
+            return F.concat(F.array_join(said, ""), between(blocks, last, F.length(t)))
+
+        return let(cut_up(t), text_of)
+
+    return out.withColumn(text, F.when(F.size("spans") > 0, let(ordered, parts_of)).otherwise(t)).drop("spans")

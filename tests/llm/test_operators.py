@@ -63,6 +63,25 @@ def test_redaction(spark, odd):
     assert got[6] == "Call <PHONE> or <EMAIL>, <CARD>; <IP>"
 
 
+def test_very_many_addresses_in_one_text(spark):
+    text = " ".join(f"user{i}@mail{i % 7}.example.com" for i in range(20_000))
+    df = spark.createDataFrame([(1, text + " Ünï"), (2, "𝔘" * 3000 + " a@b.co, +1 842 555 6187" * 3)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(df).select("doc_id", F.size("spans").alias("n"), pii.listed(F.filter("spans", lambda x: x["base"])).alias("s")).collect()}
+    assert got[1].n == 20_000 and got[1].s == ",".join(spans(text)) and got[2].s == ",".join(spans("𝔘" * 3000 + " a@b.co, +1 842 555 6187" * 3))
+    red = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert red[1] == " ".join(["<EMAIL>"] * 20_000) + " Ünï" and red[2] == "𝔘" * 3000 + " <EMAIL>, <PHONE>" * 3
+
+
+def test_further_candidates_stay_apart_from_base_spans(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00, 123-45-6789, token = abcdefgh1234, x [at] y.org, 842-555-6187, +1 842-555-6187, Dr. Anna Berg"
+    found = pii.find(spark.createDataFrame([(text,)], "text string")).first()["found"]
+    got = {(pii.KINDS[x.kind], text[x.s : x.e]) for x in found if not x.base}
+    want = {("iban", "DE89 3704 0044 0532 0130 00"), ("national_id", "123-45-6789"), ("secret", "token = abcdefgh1234"), ("email", "x [at] y.org"), ("phone", "842-555-6187"), ("name", "Dr. Anna Berg")}
+    assert got == want
+    for a in found:
+        assert a.base or not any(b.base and b.s < a.e and a.s < b.e for b in found)
+
+
 def counts(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -233,6 +252,45 @@ def test_packing_round_trip(spark, docs, odd):
         assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def sum_of_squares(sizes, window):
+    """Placements by trying every choice: the level each piece goes to, with the windows open at the end."""
+    open_, out = [], []
+    for size in sizes:
+        best = None
+        for level in {0, *open_}:
+            if level + size > window:
+                continue
+            after = list(open_)
+            if level:
+                after.remove(level)
+            if level + size < window:
+                after.append(level + size)
+            cost = sum(after.count(x) ** 2 for x in set(after))
+            if best is None or (cost, -level) < best[:2]:
+                best = cost, -level, after
+        out.append(-best[1])
+        open_ = best[2]
+    return out, sorted(open_)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_rule_against_brute_force(seed):
+    window, rng = 12, np.random.default_rng(seed)
+    sizes = rng.integers(1, window, 200).tolist()
+    packer, at, done = packing.SumOfSquares(0, window), [], []
+    for i, size in enumerate(sizes):
+        before = packer.count.copy()
+        done += packer.put(i, np.arange(size) + 70_000 * (i % 2))
+        opened = np.flatnonzero(packer.count - before > 0)
+        left = np.flatnonzero(before - packer.count > 0)
+        at.append(int(left[0]) if len(left) else 0)
+        assert len(opened) <= 1 and len(left) <= 1
+    want, open_ = sum_of_squares(sizes, window)
+    assert at == want and sorted(np.repeat(np.arange(window + 1), packer.count).tolist()) == open_
+    done += packer.close()
+    assert sum(len(d[2]) for d in done) == sum(sizes) and all(d[2].max() < 70_000 or i % 2 for d in done for i in [d[0]])
+
+
 def test_pipeline_runs_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
 
