@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import going, walk
+
 #: Terminal escape sequences: CSI, OSC (ended by BEL or ST), ESC and one character, a lone ESC.
 ESCAPES = "\\x1b(?:\\[[\\x20-\\x3f]*[^\\n]?|\\][^\\x07\\x1b\\n]*(?:\\x07|\\x1b\\\\)?|[^\\[\\]\\n]?)"
 INVISIBLE = "[\\x00-\\x08\\x0B-\\x1F\\x7F\\x{FEFF}\\x{200B}-\\x{200D}\\x{2060}]"
@@ -14,7 +16,6 @@ BOILERPLATE = "^(</?local-command-|</?command-|</?system-reminder>|Caveat:|DO NO
 #: Publicly documented shapes of secrets (fixed values).
 SECRETS = "(?i)(?:token|password|api_key)[ ]?=[ ]?[\"']?[A-Za-z0-9]{12,}"
 DIFF = "^(@@|diff |--- |\\+\\+\\+ |[-+][^ \\t])"
-BLOCK = "^[ \\t]*(#|>|```|~~~|[-*+] |[0-9]+[.)]( |$))"
 
 
 def normalize_newlines(t: Column) -> Column:
@@ -45,19 +46,17 @@ def is_pipe_row(line: Column) -> Column:
     return line.contains("|") & F.trim(line).rlike("[^| ]")
 
 
-def is_indented(line: Column) -> Column:
-    return line.rlike("^(\\t| {4})")
-
-
 def is_blank(line: Column) -> Column:
     return ~line.rlike("[^ \\t]")
 
 
-def clean_table_lines(lines: Column) -> Column:
-    def cell(x: Column) -> Column:
-        return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(x, BOX, "")), "^\\|", ""), "\\|$", ""))
+def table_cells(line: Column) -> Column:
+    """A table's row without box characters and outer pipes."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, BOX, ""), "^[ \\t]*\\|", ""), "\\|[ \\t]*$", ""), "^[\\p{Zs}\\t]+|[\\p{Zs}\\t]+$", "")
+
 
-    return F.filter(F.transform(F.filter(lines, lambda x: ~is_separator(x)), cell), lambda x: x != "")
+def clean_table_lines(lines: Column) -> Column:
+    return F.filter(F.transform(F.filter(lines, lambda x: ~is_separator(x)), table_cells), lambda x: x != "")
 
 
 def collapse_blanks(t: Column) -> Column:
@@ -107,27 +106,25 @@ def fenced(lines: Column) -> Column:
     """Booleans: which lines lie in a fenced block, marks included; an open fence runs to the end.
     A closing mark is at least as long as the opening one and stands alone."""
 
-    def step(acc: Column, line: Column) -> Column:
+    def step(s: Column, line: Column) -> Column:
         run = F.length(F.regexp_extract(line, "^[ \\t]*(`{3,}|~{3,})", 1))
         opens = (run > 0) & ~line.rlike("^[ \\t]*`{3,}+[^`]*`")
-        closes = (run >= acc["n"]) & line.rlike("^[ \\t]*(`{3,}|~{3,})[ \\t]*$")
-        inside = acc["n"] > 0
-        n = F.when(inside & closes, 0).when(inside, acc["n"]).when(opens, run).otherwise(0)
-        return F.struct(n.alias("n"), F.concat(acc["out"], F.array(inside | opens)).alias("out"))
+        closes = (run >= s["n"]) & line.rlike("^[ \\t]*(`{3,}|~{3,})[ \\t]*$")
+        inside = s["n"] > 0
+        return going(F.struct(F.when(inside & closes, 0).when(inside, s["n"]).when(opens, run).otherwise(0).alias("n")), inside | opens)
 
-    return F.aggregate(lines, F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out")), step, lambda a: a["out"])
+    return walk(lines, F.struct(F.lit(0)), step, "struct<n:int>", "boolean")["out"]
 
 
 def to_plain_text(t: Column) -> Column:
     """A markdown document without its marks: fence lines go, code lines stay as they are, other lines
     lose their marks. Unlike in ``fenced``, a closing mark may be followed by an info string."""
 
-    def step(acc: Column, line: Column) -> Column:
+    def step(s: Column, line: Column) -> Column:
         run = F.when(line.rlike("^[ \\t]*`{3,}+[^`]*`"), 0).otherwise(F.length(F.regexp_extract(line, "^[ \\t]*(`{3,}|~{3,})", 1)))
-        inside = acc["n"] > 0
-        mark = (run > 0) & (run >= acc["n"])
-        n = F.when(mark, F.when(inside, 0).otherwise(run)).otherwise(acc["n"])
-        kept = F.when(mark, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.when(inside, line).otherwise(plain_line(line)))))
-        return F.struct(n.alias("n"), kept.alias("out"))
+        inside = s["n"] > 0
+        mark = (run > 0) & (run >= s["n"])
+        said = F.when(mark, F.array().cast("array<string>")).otherwise(F.array(F.when(inside, line).otherwise(plain_line(line))))
+        return F.struct(F.struct(F.when(mark, F.when(inside, 0).otherwise(run)).otherwise(s["n"]).alias("n")).alias("s"), said.alias("out"))
 
-    return F.aggregate(F.split(t, "\n"), F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")), step, lambda a: F.array_join(a["out"], "\n"))
+    return F.array_join(walk(F.split(t, "\n"), F.struct(F.lit(0)), step, "struct<n:int>", "string")["out"], "\n")
