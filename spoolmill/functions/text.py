@@ -13,8 +13,13 @@ INVISIBLE = "[\\x00-\\x08\\x0B-\\x1F\\x7F\\x{FEFF}\\x{200B}-\\x{200D}\\x{2060}]"
 BOX = "[\\x{2500}-\\x{257F}]"
 #: Openings of lines that a tool wrote into a user's message (fixed values).
 BOILERPLATE = "^(</?local-command-|</?command-|</?system-reminder>|Caveat:|DO NOT respond)"
-#: Publicly documented shapes of secrets (fixed values).
-SECRETS = "(?i)(?:token|password|api_key)[ ]?=[ ]?[\"']?[A-Za-z0-9]{12,}"
+#: Publicly documented shapes of secrets (fixed values): assignments, key blocks, cloud keys, hub tokens.
+SECRETS = {
+    "assignment": "(?i)(?:token|password|api_key)[ ]?=[ ]?[\"']?[A-Za-z0-9]{12,}",
+    "private_key": "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
+    "cloud_key": "AKIA[0-9A-Z]{16}",
+    "hub_token": "gh[opsu]_[A-Za-z0-9]{36}",
+}
 DIFF = "^(@@|diff |--- |\\+\\+\\+ |[-+][^ \\t])"
 
 
@@ -128,3 +133,20 @@ def to_plain_text(t: Column) -> Column:
         return F.struct(F.struct(F.when(mark, F.when(inside, 0).otherwise(run)).otherwise(s["n"]).alias("n")).alias("s"), said.alias("out"))
 
     return F.array_join(walk(F.split(t, "\n"), F.struct(F.lit(0)), step, "struct<n:int>", "string")["out"], "\n")
+
+
+def metadata_line(label: Column, day: Column, project: Column, turns: Column) -> Column:
+    """What a record shows under its title; a missing project is left out."""
+    return F.concat_ws(" · ", label, day, project, F.concat(turns.cast("string"), F.lit(" turns")))
+
+
+def note_name(title: Column, body: Column) -> Column:
+    """A note's file name: its title, else the first line that is not empty, 40 characters at most."""
+    line = F.get(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
+    name = F.coalesce(F.nullif(F.trim(title), F.lit("")), F.substring(line, 1, 40), F.lit("untitled"))
+    return F.concat(F.regexp_replace(name, "/", "-"), F.lit(".md"))
+
+
+def secret_hits(t: Column) -> Column:
+    """How often each rule of :data:`SECRETS` matches: a map without the values."""
+    return F.create_map(*[x for k, p in SECRETS.items() for x in (F.lit(k), F.regexp_count(t, F.lit(p)).cast("long"))])

@@ -50,12 +50,37 @@ def search(rows: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return bm25(rows, q, limit) if len(q) >= 3 else like(rows, q, limit)
 
 
+def _place(body: Column, q: str) -> Column:
+    """Where ``q`` begins, whatever its case. The one character that grows in lower case is replaced
+    first, so that places in the lowered text are places in the text."""
+    return F.instr(F.lower(F.replace(body, F.lit("\u0130"), F.lit("\u0131"))), q.lower())
+
+
 def snippet(body: Column, query: str, around: int = 30, empty: int = 60) -> Column:
     """The first match in «» with up to ``around`` characters on either side."""
     q = query.strip()
-    at = F.instr(F.lower(body), q.lower())
+    at = _place(body, q)
     start = F.greatest(at - around, F.lit(1))
     left = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(body, start, at - start), F.lit("«"), F.substring(body, at, F.lit(len(q))), F.lit("»"))
     right = F.concat(F.substring(body, at + len(q), F.lit(around)), F.when(at + len(q) + around <= F.length(body), "…").otherwise(""))
     head = F.concat(F.substring(body, 1, empty), F.when(F.length(body) > empty, "…").otherwise(""))
     return F.when(at > 0, F.concat(left, right)).when(F.length(body) > 0, head).otherwise(f"«{q}»")
+
+
+def ranked_snippet(body: Column, query: str, size: int = 20) -> Column:
+    """A window of ``size`` trigrams of ``body`` around its first match, which is put in «»; without a match
+    the window is the start of the text. Ellipses stand where text is left out."""
+    q = query.strip()
+    length, span = F.length(body), size + 2
+    at = _place(body, q)
+    start = F.greatest(F.least(at - (size - (len(q) - 2)) // 2, length - span + 1), F.lit(1))
+    start = F.when(at > 0, start).otherwise(1)
+    shown = F.substring(body, start, F.lit(span))
+    before, hit, after = F.substring(body, start, at - start), F.substring(body, at, F.lit(len(q))), F.substring(body, at + len(q), F.greatest(start + span - at - len(q), F.lit(0)))
+    text = F.when(at > 0, F.concat(before, F.lit("«"), hit, F.lit("»"), after)).otherwise(shown)
+    return F.concat(F.when(start > 1, "…").otherwise(""), text, F.when(start + span <= length, "…").otherwise(""))
+
+
+def known_tools(hits: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """Hits of tools that are known; the limit has been taken before."""
+    return hits.where(F.col("tool").isin(*tools))

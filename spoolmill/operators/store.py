@@ -9,7 +9,10 @@ DAY = 86400
 
 
 def upsert(archive: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
-    """Rows of ``new`` replace those of their key; a replaced row's star is kept."""
+    """Rows of ``new`` replace those of their key; a replaced row's star is kept. Of new rows with one key
+    the latest counts, by ``last_active_at``."""
+    one = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), "last_active_at").alias("_row"))
+    new = one.select("_row.*")
     old = archive.select(key, F.col("starred").alias("_old"))
     kept = new.join(old, key, "left").withColumn("starred", F.col("starred") | F.coalesce("_old", F.lit(False))).drop("_old")
     return archive.join(new.select(key), key, "left_anti").unionByName(kept)
@@ -33,12 +36,67 @@ def untrash(archive: DataFrame, which: Column) -> DataFrame:
     return archive.withColumns({"trashed_at": F.when(hit, F.lit(None).cast("long")).otherwise(F.col("trashed_at")), "state": F.when(hit, "live").otherwise(F.col("state"))})
 
 
+def purged(now: int, grace: int = 7) -> Column:
+    """Whether a row has been in the trash for more than ``grace`` days; rows without a time or state stay."""
+    return F.coalesce((F.col("state") == "trash") & (F.lit(now) - F.col("trashed_at") > grace * DAY), F.lit(False))
+
+
+def cleanup_lists(archive: DataFrame, now: int, days: int | None, grace: int = 7, protected: DataFrame | None = None) -> DataFrame:
+    """(path, action): what :func:`cleanup` would trash and purge."""
+    after = cleanup(archive, now, days, grace, protected).select("path", F.col("state").alias("_then"))
+    moved = archive.where("state = 'live'").select("path").join(after.where("_then = 'trash'"), "path", "left_semi").select("path", F.lit("trashed").alias("action"))
+    return moved.unionByName(archive.where(purged(now, grace)).select("path", F.lit("purged").alias("action")))
+
+
+def load(archive: DataFrame, path: str) -> DataFrame:
+    """The row of one path: a pushed-down filter."""
+    return archive.where(F.col("path") == path)
+
+
+def live(archive: DataFrame) -> DataFrame:
+    """All records outside the trash, newest first."""
+    return archive.where("state = 'live'").orderBy(F.desc("last_active_at"), "path")
+
+
+def record_key() -> Column:
+    """The key by which a record is opened from a hit."""
+    return F.concat_ws("|", "tool", F.col("started_at").cast("string"), "session_id")
+
+
+def open_hits(hits: DataFrame, archive: DataFrame) -> DataFrame:
+    """The live records of ``hits`` (path)."""
+    return archive.where("state = 'live'").join(hits.select("path").distinct(), "path", "left_semi")
+
+
+def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows with one key the first by ``order``."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
+
+
+def move_to(archive: DataFrame, path: str, state: str, now: int, suffix: str) -> DataFrame:
+    """Trash or restore one path. A missing path is an error; if the path is taken in the state it goes
+    to, ``suffix`` is put before its extension."""
+    there = archive.where((F.col("path") == path) & (F.col("state") != state))
+    if there.isEmpty():
+        raise KeyError(path)
+    taken = not archive.where((F.col("path") == path) & (F.col("state") == state)).isEmpty()
+    hit = (F.col("path") == path) & (F.col("state") != state)
+    name = F.concat(F.regexp_replace("path", "\\.[^.]*$", ""), F.lit(f"-{suffix}"), F.regexp_extract("path", "(\\.[^.]*)?$", 0)) if taken else F.col("path")
+    at = F.lit(now).cast("long") if state == "trash" else F.lit(None).cast("long")
+    return archive.withColumns({"path": F.when(hit, name).otherwise(F.col("path")), "trashed_at": F.when(hit, at).otherwise(F.col("trashed_at")), "state": F.when(hit, F.lit(state)).otherwise(F.col("state"))})
+
+
+def sync_counts(plan: DataFrame) -> DataFrame:
+    """(added, updated): files of a sync plan that are new, and those that were known before."""
+    return plan.agg(F.count_if(F.col("status") == "new").alias("added"), F.count_if(F.col("status") == "changed").alias("updated"))
+
+
 def cleanup(archive: DataFrame, now: int, days: int | None, grace: int = 7, protected: DataFrame | None = None) -> DataFrame:
     """Expire, then purge, over one snapshot: a row trashed now is not purged in the same pass."""
-    safe = archive if protected is None else archive.join(protected.select("path").withColumn("_safe", F.lit(True)), "path", "left")
+    safe = archive if protected is None else archive.join(protected.select("path").distinct().withColumn("_safe", F.lit(True)), "path", "left")
     spared = F.lit(False) if protected is None else F.coalesce("_safe", F.lit(False))
     expired = F.lit(False) if days is None else (F.lit(now) - F.col("last_active_at") > days * DAY) & ~F.col("starred") & ~spared
-    kept = safe.where((F.col("state") != "trash") | (F.lit(now) - F.col("trashed_at") <= grace * DAY))
+    kept = safe.where(~purged(now, grace))
     return trash(kept, expired, now).drop("_safe")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.arrays import let, walk
 
 #: Archived tools and the labels of speakers (fixed values).
 TOOLS = ("claude-code", "codex", "gemini", "cursor")
@@ -63,16 +64,52 @@ def markdown(r: DataFrame) -> Column:
     return F.concat(F.concat_ws("\n", *head), F.array_join(F.transform("messages", lambda m: F.concat(labelled(m), F.lit("\n\n"))), ""))
 
 
+#: A label that older archives have for the user (fixed value).
+OLD_LABELS = {"你": "User"}
+
+
 def from_markdown(md: Column) -> Column:
-    """Header fields as a map and the body's messages (label, text): a line that is a label and a
-    full-width colon opens a message; empty lines at a message's end go."""
-    head = F.split(F.regexp_extract(md, "(?s)^---\n(.*?)\n---\n", 1), "\n")
-    fields = F.map_from_entries(F.transform(head, lambda x: F.struct(F.regexp_extract(x, "^([a-z_]+): ", 1), F.regexp_extract(x, "^[a-z_]+: (.*)$", 1))))
-    rest = F.regexp_replace(md, "(?s)^---\n.*?\n---\n\n", "")
-    marks = "|".join(LABELS.values())
-    parts = F.split(F.regexp_replace(rest, f"(?m)^({marks})：\n", "\u0001$1\u0002"), "\u0001")
-    found = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "\u0002", 1).alias("label"), F.regexp_replace(F.substring_index(x, "\u0002", -1), "\n+$", "").alias("text")))
-    return F.struct(fields.alias("fields"), found.alias("messages"))
+    """Header ``fields`` as a map (of repeated keys the last counts), the body's ``messages`` (label, text) and
+    ``status``: ok, malformed_frontmatter, unknown_tool or malformed_body (text before the first label).
+    A line that is a label and a full-width colon opens a message; empty lines at a message's end go."""
+    lines = F.split(md, "\n")
+
+    def parts(ls: Column) -> Column:
+        close = F.array_position(F.slice(ls, 2, F.size(ls)), "---")
+        head = F.filter(F.slice(ls, 2, F.greatest(close - 1, F.lit(0)).cast("int")), lambda x: x.contains(":"))
+        pairs = F.transform(head, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+        last = F.filter(pairs, lambda p, n: ~F.exists(F.slice(pairs, n + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+        fields = F.map_from_entries(last)
+        body = F.slice(ls, close.cast("int") + 2, F.size(ls))
+
+        def step(s: Column, line: Column) -> Column:
+            name = F.regexp_extract(line, "^(" + "|".join([*LABELS.values(), *OLD_LABELS]) + ")：$", 1)
+            name = F.create_map(*[F.lit(x) for k in [*((v, v) for v in LABELS.values()), *OLD_LABELS.items()] for x in k])[F.when(name != "", name)]
+            opens = name.isNotNull()
+            none = F.array().cast(f"array<{_OPEN}>")
+            said = F.when(opens & s["label"].isNotNull(), F.array(s)).otherwise(none)
+            now = F.when(opens, F.struct(name.alias("label"), F.array().cast("array<string>").alias("lines"), s["early"].alias("early")))
+            more = F.struct(s["label"].alias("label"), F.when(s["label"].isNull(), s["lines"]).otherwise(F.concat(s["lines"], F.array(line))).alias("lines"), (s["early"] | (s["label"].isNull() & (F.trim(line) != ""))).alias("early"))
+            return F.struct(now.otherwise(more).alias("s"), said.alias("out"))
+
+        got = walk(body, F.struct(F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit(False)), step, _OPEN, _OPEN)
+
+        def finish(g: Column) -> Column:
+            every = F.filter(F.concat(g["out"], F.array(g["s"])), lambda x: x["label"].isNotNull())
+            found = F.transform(every, lambda x: F.struct(x["label"].alias("label"), F.regexp_replace(F.array_join(x["lines"], "\n"), "\n+$", "").alias("text")))
+            iso = "^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(Z|[+-]\\d\\d:?\\d\\d)$"
+            dated = lambda k: F.coalesce(fields[k].rlike(iso), F.lit(False))
+            broken = (F.get(ls, F.lit(0)) != "---") | (close == 0) | fields["tool"].isNull()
+            poor = fields["session_id"].isNull() | ~dated("started_at") | ~dated("last_active_at") | fields["starred"].isNull()
+            status = F.when(broken, "malformed_frontmatter").when(~fields["tool"].isin(*TOOLS), "unknown_tool").when(poor, "malformed_frontmatter").when(g["s"]["early"], "malformed_body").otherwise("ok")
+            return F.struct(status.alias("status"), fields.alias("fields"), found.alias("messages"))
+
+        return let(got, finish)
+
+    return let(lines, parts)
+
+
+_OPEN = "struct<label:string,lines:array<string>,early:boolean>"
 
 
 def to_jsonl(m: DataFrame) -> DataFrame:
@@ -84,18 +121,18 @@ def to_jsonl(m: DataFrame) -> DataFrame:
     return m.select(F.col("conv_id").alias("file"), F.col("turn").alias("line_no"), F.when(F.col("role") == "assistant", rich).otherwise(plain).alias("line"))
 
 
-def parse_jsonl(lines: DataFrame) -> DataFrame:
-    """(file, line_no, type, session_id, ts, text) of user and assistant lines with a text; malformed
-    lines and those of other shapes give none. A string field counts only if it is a JSON string."""
-    v = lines.select("file", "line_no", F.try_parse_json(F.trim("line")).alias("v"))
-
-    def string(path: str) -> Column:
-        return F.when(F.schema_of_variant(F.try_variant_get("v", path, "variant")) == "STRING", F.try_variant_get("v", path, "string"))
-
-    blocks = F.try_variant_get("v", "$.message.content", "array<struct<type:string,text:string>>")
-    joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n\n")
-    text_ = F.when(string("$.type") == "user", F.coalesce(string("$.message.content"), joined)).otherwise(joined)
-    ts = string("$.timestamp")
-    iso = "^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:?\\d\\d)$"
-    out = v.select("file", "line_no", string("$.type").alias("type"), string("$.sessionId").alias("session_id"), F.when(ts.rlike(iso), F.unix_seconds(F.try_to_timestamp(ts))).alias("ts"), text_.alias("text"))
-    return out
+def to_wrapped_jsonl(m: DataFrame) -> DataFrame:
+    """(file, line_no, line): sessions as wrapped-envelope JSON lines: first the session's own line, then
+    messages under an item, under a payload or bare by turn, and lines that no reader should mind."""
+    iso = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
+    block = F.array(F.struct(F.when(F.col("role") == "user", "Input_Text").otherwise("output_text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")))
+    inner = F.struct(F.lit("message").alias("type"), F.col("role").alias("role"), block.alias("content"))
+    bare = F.struct(F.lit("response_item").alias("type"), iso, F.col("role").alias("role"), F.col("text").alias("content"))
+    line = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(iso, inner.alias("item")))).when(F.col("turn") % 3 == 1, F.to_json(F.struct(iso, F.lit("ResponseItem").alias("type"), inner.alias("payload")))).otherwise(F.to_json(bare))
+    meta = F.to_json(F.struct(iso, F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("conv-"), F.col("conv_id")).alias("id"), F.concat(F.lit("/home/u/p"), F.col("conv_id") % 7, F.lit("/")).alias("cwd")).alias("payload")))
+    noise = [F.lit(x) for x in ("{broken", "null", "[1]", "  ", '{"type":5}', '{"item":{"type":"message","role":"tool","content":"x"}}')]
+    name = F.concat(F.lit("/s/rollout-"), F.col("conv_id"), F.lit(".jsonl"))
+    rows = m.select(name.alias("file"), (F.col("turn") * 10 + 5).alias("line_no"), line.alias("line"))
+    some = m.where("conv_id % 4 <> 3").groupBy("conv_id").agg(F.min("ts").alias("ts")).select(name.alias("file"), F.lit(0).alias("line_no"), meta.alias("line"))
+    more = m.select(name.alias("file"), (F.col("turn") * 10 + 6).alias("line_no"), F.element_at(F.array(*noise), (F.col("turn") % len(noise) + 1).cast("int")).alias("line"))
+    return rows.unionByName(some).unionByName(more)

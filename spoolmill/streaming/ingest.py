@@ -21,22 +21,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
 from ..operators import store
-from ..sources import bridge as B
+from ..sources import adapters as A
 
 MANIFEST = "path string, length long, mtime double"
 ARCHIVE = "path string, tool string, session_id string, started_at long, last_active_at long, starred boolean, title string, messages array<struct<turn:int,speaker:string,role:string,text:string>>, source string, state string, trashed_at long"
 
 
-def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, length, mtime) without reading contents."""
+def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl", depth: int | None = None) -> DataFrame:
+    """(path, length, mtime) without reading contents. Hidden files and folders and those of sub-agents are
+    left out; with ``depth`` only files so many levels below ``root`` count."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "length", F.unix_micros("modificationTime").cast("double").alias("_m")).select("path", "length", (F.col("_m") / 1e6).alias("mtime")).where(~F.col("path").contains("/subagents/"))
+    below = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
+    found = files.select("path", "length", (F.unix_micros("modificationTime").cast("double") / 1e6).alias("mtime"), below.alias("_below"))
+    kept = found.where(~F.col("path").contains("/subagents/") & ~F.exists("_below", lambda x: x.startswith(".")))
+    return (kept if depth is None else kept.where(F.size("_below") == depth)).drop("_below")
 
 
 def lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(file, line_no, line) of whole files, named as in ``listing``; files that are not UTF-8 give none."""
     files = spark.read.format("binaryFile").load(paths).select("path", F.col("content").cast("string").alias("text")).where(F.is_valid_utf8("text"))
-    return files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    return files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def every(spark: SparkSession, run: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 240, once: bool = False) -> StreamingQuery:
@@ -50,17 +54,10 @@ def sessions(found: DataFrame, seen: DataFrame, tool: str) -> DataFrame:
     """Archive rows of the files whose ``lines`` are ``found``; files without messages give none, and of
     files with one name in the archive the latest counts. ``seen`` has the files' path and mtime, which
     stands in where no line has a time."""
-    p = B.parse_jsonl(found)
-    said = F.col("type").isin("user", "assistant") & F.col("text").rlike("\\S")
-    item = F.struct(F.col("line_no").alias("turn"), F.when(F.col("type") == "assistant", tool).otherwise(F.col("type")).alias("speaker"), F.col("type").alias("role"), "text")
-    r = p.groupBy("file").agg(F.array_sort(F.collect_list(F.when(said, item))).alias("messages"), F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.min_by("session_id", F.when(F.col("session_id").isNotNull(), F.col("line_no"))).alias("_id"))
-    r = r.where(F.size("messages") > 0).join(seen.select(F.col("path").alias("file"), "mtime"), "file")
-    stem = F.regexp_replace(F.substring_index("file", "/", -1), "\\.[^.]*$", "")
-    r = r.select("file", "mtime", "messages", F.coalesce("_id", stem).alias("session_id"), F.coalesce("_from", F.floor("mtime")).alias("started_at"), F.coalesce("_to", F.floor("mtime")).alias("last_active_at"))
+    r = A.sessions(found, A.ADAPTERS[tool]).where("parse_status = 'ok'").join(seen.select(F.col("path").alias("file"), "mtime"), "file")
     asked = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["text"]
-    name = F.concat(F.lit(f"{tool}-"), F.date_format(F.timestamp_seconds("started_at"), "yyyy-MM-dd"), F.lit("-"), T.sanitize(F.col("session_id")), F.lit(".md"))
     rows = r.select(
-        name.alias("path"), F.lit(tool).alias("tool"), "session_id", "started_at", "last_active_at", F.lit(False).alias("starred"), T.title(asked).alias("title"), "messages",
+        A.archive_path(F.lit(tool), F.col("started_at"), F.col("session_id")).alias("path"), F.lit(tool).alias("tool"), "session_id", "started_at", "last_active_at", F.lit(False).alias("starred"), T.title(asked).alias("title"), "messages",
         F.col("file").alias("source"), F.lit("live").alias("state"), F.lit(None).cast("long").alias("trashed_at"), "mtime",
     )
     one = rows.groupBy("path").agg(F.max_by(F.struct(*rows.columns), F.struct("mtime", "source")).alias("r"))
@@ -97,7 +94,7 @@ def sync(spark: SparkSession, root: str, home: str, tool: str = "claude-code", n
     def write(df: DataFrame, table: str) -> None:
         df.write.mode("overwrite").parquet(f"{home}/{table}/{new}")
 
-    write(store.plan_sync(listing(spark, root), state, time.time() if now is None else now), "plan")  # files are listed once
+    write(store.plan_sync(listing(spark, root, A.ADAPTERS[tool].pattern), state, time.time() if now is None else now), "plan")  # files are listed once
     plan = spark.read.parquet(f"{home}/plan/{new}")
     paths = [r.path for r in plan.where("status IN ('new', 'changed')").select("path").collect()]
     if not paths and plan.where("status = 'oversize'").isEmpty() and state.join(plan, "path", "left_anti").isEmpty():

@@ -53,3 +53,11 @@ def test_a_tick_runs_a_pass(spark, tmp_path):
     put(root / "a.jsonl", "one", session="a")
     ingest.ingest(spark, str(root), home, str(tmp_path / "checkpoint"), once=True).awaitTermination(60)
     assert said(spark, home) == {"a": ["one"]}
+
+
+def test_listing_by_depth_without_hidden_files(spark, tmp_path):
+    for name in ("a.jsonl", "p/b.jsonl", "p/.h.jsonl", ".q/c.jsonl", "p/q/d.jsonl", "p/subagents/e.jsonl", "p/f.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    names = lambda depth: sorted(r.path.rpartition("/")[2] for r in ingest.listing(spark, str(tmp_path), depth=depth).collect())
+    assert names(None) == ["a.jsonl", "b.jsonl", "d.jsonl"] and names(2) == ["b.jsonl"]

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from spoolmill.operators import search, store
-from spoolmill.sources import bridge
+from spoolmill.sources import adapters, bridge
 
 DAY = 86400
 ROW = "path string, last_active_at long, starred boolean, state string, trashed_at long"
@@ -30,15 +30,69 @@ def test_upsert_keeps_the_star(spark):
 
 
 def test_search_short_long_and_literal(spark):
-    rows = spark.createDataFrame([("p1", "t", "docker 端口被占用 a%b", None, 1), ("p2", "kubernetes", "axb", "proj", 2)], "path string, title string, body string, project string, last_active_at long")
+    rows = spark.createDataFrame([("p1", "t", "nginx 服务没有启动 50%_off", None, 1), ("p2", "postgres", "50 off", "proj", 2)], "path string, title string, body string, project string, last_active_at long")
     find = lambda q: [r.path for r in search.search(rows, q).collect()]
-    assert find("端口被") == ["p1"] and find("端口") == ["p1"] and find("%b") == ["p1"] and find("KUBER") == ["p2"] and find("  ") == []
+    assert find("服务没") == ["p1"] and find("服务") == ["p1"] and find("%_") == ["p1"] and find("POST") == ["p2"] and find("  ") == []
+
+
+def test_snippets(spark):
+    body = "İ" + "a" * 40 + "Needle" + "b" * 40
+    df = spark.createDataFrame([(body,), ("short",)], "b string")
+    got = [tuple(r) for r in df.select(search.snippet(F.col("b"), "needle"), search.ranked_snippet(F.col("b"), "needle")).collect()]
+    assert got[0] == ("…" + "a" * 30 + "«Needle»" + "b" * 30 + "…", "…" + "a" * 8 + "«Needle»" + "b" * 8 + "…")
+    assert got[1] == ("short", "short")
+
+
+def test_nulls_stay_and_repeated_rows_do_not_double(spark):
+    now, a = archive(spark)
+    odd = a.unionByName(spark.createDataFrame([("x", 0, True, "trash", None), ("y", 0, True, None, None)], ROW))
+    twice = spark.createDataFrame([("old",), ("old",)], "path string")
+    kept = [r.path for r in store.cleanup(odd, now, 7, protected=twice).collect()]
+    assert sorted(kept) == ["new", "old", "star", "x", "y"]
+    two = a.where("path = 'star'").unionByName(a.where("path = 'star'").withColumn("last_active_at", F.lit(9).cast("long")))
+    assert store.upsert(a, two).where("path = 'star'").count() == 1
+    assert {tuple(r) for r in store.cleanup_lists(a, now, 7).collect()} == {("old", "trashed"), ("gone", "purged")}
+    assert [r.path for r in store.load(a, "star").collect()] == ["star"] and store.remove(a, twice).count() == 3
+    assert store.first_of_each(two, "path", "last_active_at").first()["last_active_at"] == 9
+
+
+def test_moves_to_and_from_the_trash(spark):
+    now, a = archive(spark)
+    b = a.unionByName(spark.createDataFrame([("new", 0, False, "trash", 5), ("n.md", 0, False, "trash", 5), ("n.md", 1, False, "live", None)], ROW))
+    got = {r.path: (r.state, r.trashed_at) for r in store.move_to(b, "n.md", "live", now, "ab12cd34").collect()}
+    assert got["n-ab12cd34.md"] == ("live", None) and got["n.md"] == ("live", None)
+    assert {r.path: r.trashed_at for r in store.move_to(a, "new", "trash", now, "z").collect()}["new"] == now
+    try:
+        store.move_to(a, "nowhere", "trash", now, "z")
+        raise AssertionError
+    except KeyError:
+        pass
+
+
+LINES = ['{"type":"user","sessionId":"s","cwd":"/","timestamp":"2024-01-01T00:00:00Z","message":{"content":"[1]"}}', "{broken", "null", "[1]", '{"type":5,"cwd":"/a/b/"}', '{"type":"assistant","message":{"content":[{"type":"tool_use","text":"no"}]}}', '{"type":"user","timestamp":"2024-01-01","message":{"content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}}', '{"type":"assistant","message":{"content":"x"}}', '{"type":"user","message":{"content":" \\n "}}']
 
 
 def test_lenient_json(spark):
-    lines = ['{"type":"user","sessionId":"s","timestamp":"2024-01-01T00:00:00Z","message":{"content":"[1]"}}', "{broken", "null", "[1]", '{"type":5}', '{"type":"assistant","message":{"content":[{"type":"tool_use","text":"no"}]}}', '{"type":"user","timestamp":"2024-01-01","message":{"content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}}']
-    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
-    got = [(r.type, r.session_id, r.ts, r.text) for r in bridge.parse_jsonl(df).orderBy("line_no").collect()]
-    assert got[0] == ("user", "s", 1704067200, "[1]")
-    assert got[6] == ("user", None, None, "a\n\nb")
-    assert got[5][3] == "" and got[4][0] is None
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(LINES)], "file string, line_no int, line string")
+    got = [(r.line_no, r.role, r.text, r.ts) for r in adapters.messages(adapters.flat_events(df)).orderBy("line_no").collect()]
+    assert got == [(0, "user", "[1]", 1704067200), (6, "user", "a\n\nb", None)]
+    files = df.unionByName(spark.createDataFrame([("/r/e.jsonl", 0, "  "), ("/r/n.jsonl", 0, "{}")], df.schema))
+    got = {r.file: (r.parse_status, r.session_id, r.project, r.started_at) for r in adapters.sessions(files, adapters.ADAPTERS["claude-code"]).collect()}
+    assert got == {"f": ("ok", "s", "b", 1704067200), "/r/e.jsonl": ("empty", None, None, None), "/r/n.jsonl": ("no_messages", None, None, None)}
+
+
+def test_wrapped_envelope(spark):
+    lines = ['{"type":"session_meta","payload":{"id":7,"cwd":"/w/proj"}}', '{"item":{"type":"Message","role":"user","content":[{"type":"INPUT_TEXT","text":"q"}]}}', '{"type":"response_item","payload":{"type":"x","role":"assistant","content":"a"}}', '{"type":"message","role":"system","content":"no"}', '{"type":"message","role":"user","content":[{"type":"text","text":"t"},5]}', '{"item":{"role":"user","content":"untyped"}}']
+    df = spark.createDataFrame([("/x/rollout-9.jsonl", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
+    r = adapters.sessions(df, adapters.ADAPTERS["codex"]).first()
+    assert (r.session_id, r.project, r.started_at) == ("9", "proj", 0) and [(m.speaker, m.text) for m in r.messages] == [("user", "q"), ("codex", "a")]
+
+
+def test_decoder_states(spark):
+    good = "---\ntool: codex\nsession_id: s\nstarted_at: 2024-01-01T00:00:00Z\nlast_active_at: 2024-01-01T00:00:00Z\nstarred: no\nstarred: true\n---\n\n你：\nhi \x01\n\nUser：\n\nCodex：\nUser： inline\n\n"
+    cases = {good: "ok", "": "malformed_frontmatter", "---\ntool: x\n": "malformed_frontmatter", good.replace("codex", "other"): "unknown_tool", good.replace("started_at", "begun"): "malformed_frontmatter", good.replace("你：\n", "text\n"): "malformed_body", good.replace("01T00", "01 00"): "malformed_frontmatter"}
+    df = spark.createDataFrame([(k,) for k in cases], "md string")
+    got = df.select("md", bridge.from_markdown(F.col("md")).alias("d")).collect()
+    assert {r.md: r.d.status for r in got} == cases
+    d = next(r.d for r in got if r.md == good)
+    assert d.fields["starred"] == "true" and [(m.label, m.text) for m in d.messages] == [("User", "hi \x01"), ("User", ""), ("Codex", "User： inline")]

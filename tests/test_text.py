@@ -41,7 +41,7 @@ def test_fence_query_reads_whole_documents(spark, tmp_path):
 
     texts = ["`a` opens\nx\n```\ny\n```", "x" * 50 + "\n~~~\ny", "```js\nopen\n\nto the end", "plain"]
     spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.code, r.other) for r in registry.QUERIES["fence_segments_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.code, r.other) for r in registry.QUERIES["fence_segments"](spark, str(tmp_path)).collect()}
     assert got == {0: (3, 2), 3: (2, 1), 6: (4, 0), 9: (0, 1)}
 
 
@@ -53,12 +53,12 @@ def test_plain_text_of_whole_documents(spark, tmp_path):
     assert one(spark, text, T.to_plain_text) == want
     assert one(spark, "```\n```", T.to_plain_text) == "" and one(spark, None, T.to_plain_text) is None
     spark.createDataFrame([(3, "x" * 60 + "\n## h\n" + "**y** " * 50)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert registry.QUERIES["plain_text_whole"](spark, str(tmp_path)).first()["plain"] == "x" * 60 + "\nh\n" + "y " * 50 + "\ne"
+    assert registry.QUERIES["plain_text"](spark, str(tmp_path)).first()["plain"] == "x" * 60 + "\nh\n" + "y " * 50 + "\ne"
 
 
 def test_sanitize_query_keeps_the_full_id(spark, tmp_path):
     from spoolmill.plans import registry
 
     spark.createDataFrame([(1, "a" * 50 + "/1"), (2, "a" * 50 + "/2")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.id for r in registry.QUERIES["sanitize_session_id_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.id for r in registry.QUERIES["sanitize_session_id"](spark, str(tmp_path)).collect()}
     assert got == {1: "a" * 50 + "-1", 2: "a" * 50 + "-2"}
