@@ -118,9 +118,11 @@ def segments(t: Column) -> Column:
         said = F.when(same | s["kind"].isNull(), F.array().cast(f"array<{_RUN}>")).otherwise(F.array(s))
         return F.struct(F.struct(k.alias("kind"), F.when(same, s["n"] + 1).otherwise(1).alias("n")).alias("s"), said.alias("out"))
 
-    lines = F.split(T.normalize_newlines(t), "\n")
-    got = walk(kinds(lines), F.struct(F.lit(None).cast("string"), F.lit(0)), step, _RUN, _RUN)
-    return F.when(t.isNotNull(), let(got, lambda g: F.concat(g["out"], F.array(g["s"]))))
+    def whole(lines: Column) -> Column:
+        got = walk(kinds(lines), F.struct(F.lit(None).cast("string"), F.lit(0)), step, _RUN, _RUN)
+        return F.when(lines.isNotNull(), let(got, lambda g: F.concat(g["out"], F.array(g["s"]))))
+
+    return let(F.split(T.normalize_newlines(t), "\n"), whole)
 
 
 def _width(line: Column) -> Column:

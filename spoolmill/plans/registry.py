@@ -311,7 +311,7 @@ _FENCES = "SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN substr(text, 1, 20) || chr
 def _walk_sql(docs: str, closes: str) -> str:
     """Lines of whole documents, walked one by one: w has n (the open fence's length) and, before the line, o."""
     return f"""WITH RECURSIVE d AS ({docs}), x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d), y AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM x),
-l AS (SELECT *, length(regexp_extract(line, '^[ \\t]*(`{{3,}}|~{{3,}})', 1)) AS run, regexp_matches(line, '^[ \\t]*`{{3,}}[^`]+`') AS inline, regexp_matches(line, '^[ \\t]*(`{{3,}}|~{{3,}})[ \\t]*$') AS bare FROM y),
+l AS MATERIALIZED (SELECT *, length(regexp_extract(line, '^[ \\t]*(`{{3,}}|~{{3,}})', 1)) AS run, regexp_matches(line, '^[ \\t]*`{{3,}}[^`]+`') AS inline, regexp_matches(line, '^[ \\t]*(`{{3,}}|~{{3,}})[ \\t]*$') AS bare FROM y),
 w AS (SELECT doc_id, 0::BIGINT AS i, ''::VARCHAR AS line, 0::BIGINT AS o, 0::BIGINT AS n FROM d
   UNION ALL SELECT l.doc_id, l.i, l.line, w.n, CASE WHEN w.n > 0 THEN CASE WHEN l.run >= w.n AND {closes} THEN 0 ELSE w.n END WHEN l.run > 0 AND NOT l.inline THEN l.run ELSE 0 END FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1)
 """
@@ -374,13 +374,13 @@ def _segments_sql() -> str:
     code = S.CODE.replace("'", "''")
     shapes = {"pipe_or_sep": "pipe OR sep", "graph": "graph", "indent": "indent", "sub": "sub", "box": "box"}
     suffix = lambda name: f"OVER (PARTITION BY doc_id, g_{name} ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-    return _walk_sql(_TERMINAL, "l.bare") + f""", f AS (SELECT doc_id, i, line, o > 0 OR n > 0 AS fence, contains(line, '|') AND regexp_matches(trim(line), '[^| ]') AS pipe, contains(line, '-') AND regexp_matches(line, '^[\p{{Zs}}\t]*[|:\- ]*[\p{{Zs}}\t]*$') AS sep,
+    return _walk_sql(_TERMINAL, "l.bare") + f""", f AS (SELECT doc_id, i, line, o > 0 OR n > 0 AS fence, contains(line, '|') AND regexp_matches(trim(line), '[^| ]') AS pipe, contains(line, '-') AND regexp_matches(line, '^[\\p{{Zs}}\t]*[|:\\- ]*[\\p{{Zs}}\t]*$') AS sep,
   regexp_matches(line, '{S.GRAPH}') AS graph, regexp_matches(line, '{S.CONNECTED}') AS conn, regexp_matches(line, '{S.INDENT}') AS indent, regexp_matches(line, '{S.SUBINDENT}') AS sub, regexp_matches(line, '{T.BOX}') AS box, regexp_matches(line, '{S.BORDER}') AS border, regexp_matches(line, '{S.FRAMED}') AS framed,
   {many(S.STRONG)} AS strong, {many(code)} AS code, length(regexp_replace(line, '[ \t]', '', 'g')) AS ink FROM w WHERE i > 0),
 g AS (SELECT *, {', '.join(f"sum(CASE WHEN NOT fence AND ({p}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g_{k}" for k, p in shapes.items())}, coalesce(lead(sep AND NOT fence) OVER (PARTITION BY doc_id ORDER BY i), false) AS next_sep FROM f),
 r AS (SELECT *, {', '.join(f"count(*) {suffix(k)} AS n_{k}" for k in shapes)}, bool_or(conn) {suffix('graph')} AS any_conn, sum(strong) {suffix('sub')} AS strongs, sum(code) {suffix('sub')} AS codes, sum(ink) {suffix('sub')} AS inks,
   count_if(border) {suffix('box')} AS borders, last_value(border) {suffix('box')} AS last_border, bool_and(framed) {suffix('box')} AS all_framed FROM g),
-c AS (SELECT doc_id, i, fence, CASE WHEN fence THEN 'code' WHEN pipe AND next_sep THEN 'table' WHEN graph AND any_conn THEN 'code' WHEN indent AND n_indent >= 2 THEN 'code' WHEN sub AND n_sub >= 2 AND strongs >= 2 AND 10 * codes >= inks THEN 'code'
+c AS MATERIALIZED (SELECT doc_id, i, fence, CASE WHEN fence THEN 'code' WHEN pipe AND next_sep THEN 'table' WHEN graph AND any_conn THEN 'code' WHEN indent AND n_indent >= 2 THEN 'code' WHEN sub AND n_sub >= 2 AND strongs >= 2 AND 10 * codes >= inks THEN 'code'
   WHEN box AND (all_framed OR (n_box >= 2 AND borders >= 2 AND border AND last_border)) THEN 'table' WHEN box THEN 'code' ELSE 'prose' END AS kind,
   CASE WHEN fence THEN 1 WHEN pipe AND next_sep THEN n_pipe_or_sep WHEN graph AND any_conn THEN n_graph WHEN indent AND n_indent >= 2 THEN n_indent WHEN sub AND n_sub >= 2 AND strongs >= 2 AND 10 * codes >= inks THEN n_sub WHEN box THEN n_box ELSE 1 END AS len FROM r),
 v AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS rest, ''::VARCHAR AS kind FROM d UNION ALL
