@@ -1,26 +1,36 @@
-"""Chat formatting through a prefix tree (DataFrame functions only).
+"""Chat formatting through a prefix tree.
 
 Conversations that share their first turns share tree nodes: a node is a formatted turn after a
 given prefix, named by a digest of all that leads to it. Nodes are emitted once, depth first, as one
-stream of characters. Each has its place in the stream, the position id of its first character
-(counted along its own branch, so a branch reads as if it stood alone), and the stream intervals of
-its ancestors, which are all it may attend to besides itself.
+stream of tokens. Each has its place in the stream, the position id of its first token (counted along
+its own branch, so a branch reads as if it stood alone), and attends to the intervals of its ancestors.
+
+Nothing grows faster than the turns. A prefix's digest is a sum of digests of (place, turn), so it is a
+running sum over range-partitioned rows, and no conversation is gathered. Nodes without a branching
+between them form a chain; a chain's ancestors are whole chains, so intervals are kept per chain, one
+for each branching above it, and the depth-first order of nodes is that of their chains' digests. A
+first turn that all conversations share is one row, and rows that meet it join apart.
 
 Template: ``<s>[role]`` newline, text, ``</s>``. In roles and texts a backslash is doubled and one
 is put after every ``<``, ``[`` and ``]``; so no control string can occur inside a turn, and the
-escape is undone from left to right.
+escape is undone from left to right. Tokens are those of a byte-level vocabulary whose file is given, a
+turn at a time, so that decoding gives the text back; without a file a token is a character.
 
 Defined results: null roles and texts are empty. Turns are ordered by turn (null first), role and
 text, so repeated rows are repeated turns. Rows without a conv_id form one conversation. Empty
-tables give empty results. A conversation is the unit of work: its turns meet in one row.
+tables give empty results. Columns other than conv_id, turn, role and text are not read. Only
+``read_back`` gathers a conversation, because its digests are over whole conversations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, running_sum
+from .common import cut, join_spread, ranged, running_sum
 
 #: A conversation of control strings, formatted besides the given ones (fixed values).
 PROBE = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
@@ -40,67 +50,130 @@ def turn_text(role: Column, text: Column) -> Column:
 
 
 def with_probe(df: DataFrame) -> DataFrame:
-    probe: SparkSession = df.sparkSession
-    rows = probe.createDataFrame(list(PROBE), "conv_id bigint, turn bigint, role string, text string")
-    return df.select("conv_id", "turn", "role", "text").unionByName(rows)
+    rows = df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x) for x in r]) for r in PROBE])).alias("conv_id", "turn", "role", "text"))
+    return df.select("conv_id", "turn", "role", "text").union(rows)
+
+
+#: Digests are sums of this many parts of 32 bits, which stay exact for two thousand million turns.
+_LANES = 4
+
+
+def along(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
+    """Add ``<value>_0``, the sum of each value over the rows of the same conv_id before this one in
+    ``order``. Rows are range-partitioned; only conversations that cross a border, at most two a range,
+    bring sums from range to range."""
+    rows = ranged(df, "conv_id", *order, "_tie")
+    here = Window.partitionBy("_pid", "conv_id").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"{v}_0": F.coalesce(F.sum(v).over(here), F.lit(0)) for v in values})
+    ends = rows.groupBy("_pid").agg(F.min(F.struct(F.col("conv_id").isNotNull().alias("_k"), "conv_id")).alias("a"), F.max(F.struct(F.col("conv_id").isNotNull().alias("_k"), "conv_id")).alias("b"))
+    ends = ends.select("_pid", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select("_pid", F.col("x.conv_id").alias("_conv"))  # two a range
+    same = (F.col("conv_id").eqNullSafe(F.col("_conv"))) & (rows["_pid"] == F.col("_at"))
+    totals = rows.join(F.broadcast(ends.withColumnRenamed("_pid", "_at")), same).groupBy("_at", "_conv").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = Window.partitionBy("_conv").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    carried = totals.select("_at", "_conv", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    out = rows.join(F.broadcast(carried), same, "left")
+    return out.withColumns({f"{v}_0": F.col(f"{v}_0") + F.coalesce(f"_{v}", F.lit(0)) for v in values}).drop("_at", "_conv", *[f"_{v}" for v in values], "_pid")
 
 
 def paths(df: DataFrame) -> DataFrame:
-    """(conv_id, depth, node, path, position, piece): the nodes each conversation passes, where
-    ``path`` lists the nodes from the root and ``position`` is the position id of the first character."""
-    turns = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
-    pieces = turns.select("conv_id", F.transform("_t", lambda x: turn_text(x["role"], x["text"])).alias("pieces"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        node = F.substring(F.sha2(F.concat(F.coalesce(F.get(acc["path"], F.size(acc["path"]) - 1), F.lit("")), piece), 256), 1, 32)
-        return F.struct(F.concat(acc["path"], F.array(node)).alias("path"), F.concat(acc["at"], F.array(F.get(acc["at"], F.size(acc["at"]) - 1) + F.length(piece))).alias("at"))
-
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array(F.lit(0).cast("bigint")).alias("at"))
-    walked = pieces.withColumn("_w", F.aggregate("pieces", start, step))
-    each = walked.select("conv_id", F.col("_w.path").alias("_path"), F.col("_w.at").alias("_at"), F.posexplode("pieces").alias("depth", "piece"))
-    return each.select("conv_id", "depth", F.get("_path", F.col("depth")).alias("node"), F.slice("_path", 1, F.col("depth") + 1).alias("path"), F.get("_at", F.col("depth")).alias("position"), "piece")
-
-
-def layout(passed: DataFrame) -> DataFrame:
-    """(node, parent, depth, path, position, offset, chars, conversations): each node once, ``offset``
-    being its place in the depth-first stream. Sorting paths as arrays is depth-first order."""
-    nodes = passed.groupBy("node").agg(F.first("path").alias("path"), F.first("depth").alias("depth"), F.first("position").alias("position"), F.first(F.length("piece").cast("bigint")).alias("chars"), F.count("*").alias("conversations"))
-    laid = running_sum(nodes, ["path"], "chars", "offset")
-    return laid.withColumn("parent", F.get("path", F.size("path") - 2))
-
-
-def merged(spans: Column) -> Column:
-    """Ascending (offset, chars) spans with adjacent ones joined."""
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        whole = F.struct(last["offset"].alias("offset"), (last["chars"] + x["chars"]).alias("chars"))
-        touches = (F.size(acc) > 0) & (last["offset"] + last["chars"] == x["offset"])
-        return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(whole))).otherwise(F.concat(acc, F.array(x)))
-
-    none = F.array().cast("array<struct<offset:bigint,chars:bigint>>")
-    return F.aggregate(spans, none, step)
-
-
-def format_tree(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stream (one row per node: layout, ``piece`` and ``attends``, the ancestors' intervals) and
-    the conversations' branches (conv_id, node, depth)."""
-    passed = cut(paths(df))
-    nodes = cut(layout(passed))
-    up = nodes.select("node", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ancestor"))
-    places = nodes.select(F.col("node").alias("ancestor"), "offset", "chars")
-    over = up.join(places, "ancestor").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("offset", "chars"))).alias("_a"))
-    pieces = passed.groupBy("node").agg(F.first("piece").alias("piece"))
-    stream = nodes.join(pieces, "node").join(over, "node", "left")
-    stream = stream.withColumn("attends", F.coalesce(merged(F.col("_a")), F.array().cast("array<struct<offset:bigint,chars:bigint>>"))).drop("_a")
-    return stream, passed.select("conv_id", "node", "depth")
-
-
-def read_back(stream: DataFrame, branches: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns): each conversation's text read from the stream along its branch,
-    and the unescaped turns parsed from that text alone."""
-    got = branches.join(stream.select("node", "position", "piece"), "node").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("position", "piece"))).alias("_p"))
-    text = got.select("conv_id", F.array_join(F.transform("_p", lambda x: x["piece"]), "").alias("formatted"))
+    """(conv_id, depth, node, parent, piece): the nodes that each conversation passes."""
+    piece = turn_text(F.col("role"), F.col("text"))
+    rows = df.select("conv_id", "turn", "role", "text", piece.alias("piece"), F.lit(1).alias("one"), F.monotonically_increasing_id().alias("_tie"))
+    placed = cut(along(rows, ["turn", "role", "text"], ["one"])).select("conv_id", F.col("one_0").alias("depth"), "piece", F.lit(0).alias("_tie"))
+    digest = F.sha2(F.concat("depth", F.lit(":"), "piece"), 256)
+    lanes = {f"l{k}": F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(_LANES)}
+    summed = along(placed.withColumns(lanes), ["depth"], list(lanes))
+
+    def name(depth: Column, *sums: Column) -> Column:
+        return F.substring(F.sha2(F.concat_ws(":", depth.cast("string"), *[x.cast("string") for x in sums]), 256), 1, 32)
+
+    node = name(F.col("depth") + 1, *[F.col(f"{x}_0") + F.col(x) for x in lanes])
+    parent = F.when(F.col("depth") > 0, name(F.col("depth"), *[F.col(f"{x}_0") for x in lanes]))
+    return summed.select("conv_id", "depth", node.alias("node"), parent.alias("parent"), "piece")
+
+
+def tokenised(nodes: DataFrame, tokenizer: str | None) -> DataFrame:
+    """Add ``tokens``, how many a node has, and ``ids``; without a tokenizer characters, and null."""
+    if tokenizer is None:
+        return nodes.withColumns({"tokens": F.length("piece").cast("long"), "ids": F.lit(None).cast("array<int>")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(tokenizer)
+        model.encode_special_tokens = True
+        for batch in batches:
+            ids = [x.ids for x in model.encode_batch(batch.column(batch.num_columns - 1).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "tokens", "ids"])
+
+    rest = [c for c in nodes.columns if c != "piece"]
+    types = dict(nodes.dtypes)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in (*rest, "piece")], "tokens bigint", "ids array<int>"])
+    return nodes.select(*rest, "piece").mapInArrow(run, schema)
+
+
+_SPANS = "array<struct<chain:string,offset:bigint,tokens:bigint>>"
+
+
+def _weighed(rows: DataFrame, key: str) -> DataFrame:
+    return cut(rows.groupBy(key).agg(F.count("*").alias("_n")))
+
+
+def format_tree(df: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stream (one row per node: node, parent, depth, chain, offset, position, tokens, ids, piece,
+    conversations), its chains (chain, offset, tokens, conversations, ``attends``: the chains above, by
+    offset) and the conversations' last nodes (conv_id, node).
+
+    A node attends to its chain's ``attends``, and to its chain from the beginning up to itself.
+    """
+    own = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")).alias("conv")
+    passed = cut(paths(df).select("*", own))
+    nodes = passed.groupBy("node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("piece").alias("piece"), F.count("*").alias("conversations"), F.min("conv").alias("conv"))
+    nodes = cut(tokenised(nodes, tokenizer))
+    # a chain begins with the first turn and below every branching
+    forks = cut(nodes.where("parent IS NOT NULL").groupBy("parent").agg(F.count("*").alias("_n")).where("_n > 1"))
+    below = join_spread(nodes.select("node", "parent", "conversations"), forks, "parent", "_n").select("node", "conversations")
+    tops = cut(below.unionByName(nodes.where("parent IS NULL").select("node", "conversations")).withColumn("step", F.substring("node", 1, 16)))
+    starts = join_spread(passed.select("conv", "depth", "node"), tops, "node", "conversations")
+    routes = cut(starts.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "step"))).alias("route")))
+    routed = cut(_weighed(nodes, "conv").join(routes, "conv"))
+    taken = F.filter("route", lambda x: x["depth"] <= F.col("depth"))
+    keyed = join_spread(nodes, routed, "conv", "_n").withColumn("_way", taken)
+    keyed = keyed.select(*[c for c in nodes.columns if c != "conv"], F.element_at("_way", -1)["node"].alias("chain"), F.array_join(F.transform("_way", lambda x: x["step"]), "").alias("key"))
+    # sorted by the chains' digests and then by depth, nodes are in depth-first order
+    laid = cut(running_sum(keyed, ["key", "depth"], "tokens", "offset").drop("key"))
+    chains = cut(laid.groupBy("chain").agg(F.min("offset").alias("offset"), F.sum("tokens").alias("tokens"), F.max("conversations").alias("conversations"), F.count("*").alias("_n")))
+    prefix = F.explode(F.transform("route", lambda x, i: F.struct(x["node"].alias("chain"), F.transform(F.slice("route", 1, i), lambda y: y["node"]).alias("above"))))
+    above = routes.select(prefix.alias("x")).select("x.*").groupBy("chain").agg(F.first("above").alias("above"))
+    up = cut(above.select(F.col("chain").alias("of"), F.explode("above").alias("chain")))
+    spans = cut(_weighed(up, "chain").join(chains.select("chain", "offset", "tokens"), "chain"))
+    attends = join_spread(up, spans, "chain", "_n").groupBy("of").agg(F.array_sort(F.collect_list(F.struct("offset", "chain", "tokens"))).alias("a"))
+    attends = attends.select(F.col("of").alias("chain"), F.transform("a", lambda x: F.struct(x["chain"].alias("chain"), x["offset"].alias("offset"), x["tokens"].alias("tokens"))).alias("attends"))
+    chains = cut(chains.join(attends, "chain", "left").withColumn("attends", F.coalesce("attends", F.array().cast(_SPANS))))
+    begin = F.aggregate("attends", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
+    about = cut(chains.select("chain", F.col("offset").alias("_o"), begin.alias("_p"), "_n"))
+    stream = join_spread(laid, about, "chain", "_n").withColumn("position", F.col("_p") + F.col("offset") - F.col("_o")).drop("_o", "_p", "_n")
+    last = passed.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"))
+    return cut(stream), chains.drop("_n"), cut(last)
+
+
+def read_back(stream: DataFrame, chains: DataFrame, last: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(conv_id, formatted, turns): each conversation's text read from what its last node attends to, and
+    the unescaped turns parsed from that text alone."""
+    ends = cut(_weighed(last, "node").join(stream.select("node", "chain", (F.col("offset") + F.col("tokens")).alias("end")), "node"))
+    ends = cut(join_spread(last, ends, "node", "_n").select("conv_id", "chain", "end"))
+    about = cut(_weighed(ends, "chain").join(chains.select("chain", "offset", "attends"), "chain"))
+    own = F.array(F.struct("chain", "offset", (F.col("end") - F.col("offset")).alias("tokens")))
+    seen = join_spread(ends, about, "chain", "_n").select("conv_id", F.explode(F.concat("attends", own)).alias("x"))
+    seen = seen.select("conv_id", "x.chain", (F.col("x.offset") + F.col("x.tokens")).alias("until"))
+    parts = cut(stream.join(chains.select("chain", F.col("conversations").alias("_n")), "chain").select("chain", "offset", "tokens", "ids", "piece", "_n"))
+    got = join_spread(seen, parts, "chain", "_n").where("offset + tokens <= until")
+    said = F.array_sort(F.collect_list(F.struct("offset", *(["piece"] if tokenizer is None else ["ids"]))))
+    each = got.groupBy("conv_id").agg(said.alias("_p"))
+    if tokenizer is None:
+        text = each.select("conv_id", F.array_join(F.transform("_p", lambda x: x["piece"]), "").alias("formatted"))
+    else:
+        text = _decoded(each.select("conv_id", F.flatten(F.transform("_p", lambda x: x["ids"])).alias("ids")), tokenizer)
     marked = F.filter(F.split("formatted", END), lambda x: x != "")
 
     def parse(x: Column) -> Column:
@@ -110,6 +183,18 @@ def read_back(stream: DataFrame, branches: DataFrame) -> DataFrame:
     return text.withColumn("turns", F.transform(marked, parse))
 
 
+def _decoded(df: DataFrame, tokenizer: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(tokenizer)
+        for batch in batches:
+            texts = [model.decode(x.as_py(), skip_special_tokens=False) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["conv_id", "formatted"])
+
+    return df.mapInArrow(run, "conv_id bigint, formatted string")
+
+
 def digests(read: DataFrame) -> DataFrame:
     """The registered query's columns; the loss mask covers the assistant's texts."""
     said = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")

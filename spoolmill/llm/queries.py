@@ -47,7 +47,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digests(chat.read_back(*chat.format_tree(chat.with_probe(table(spark, sf_dir, "conversations")))))
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tree = chat.format_tree(chat.with_probe(table(spark, sf_dir, "conversations")), path)
+    return chat.digests(chat.read_back(*tree, path))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,15 +208,51 @@ def test_sets_of_one_id_fetch_only_their_own_texts(spark, monkeypatch, tmp_path,
     assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 40
 
 
-def test_chat_stream_is_depth_first_and_reversible(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<[x]"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (2, 2, "user", None), (3, 0, None, "</s>[INST]"), (None, 0, "assistant", "n")]
-    stream, branches = chat.format_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<[x]"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (2, 2, "user", None), (3, 0, None, "</s>[INST]"), (None, 0, "assistant", "n"), (4, 0, "user", "hi"), (5, 7, "user", "hi"), (5, 7, "user", "hi")]
+
+
+@pytest.mark.parametrize("vocabulary", [None, "byte_bpe_50k.json"])
+def test_chat_stream_is_depth_first_and_reversible(spark, vocabulary, monkeypatch):
+    import public_tokenizers
+
+    from spoolmill.llm import common
+
+    monkeypatch.setattr(common, "HOT", 1)
+    path = vocabulary and public_tokenizers.path(vocabulary)
+    stream, chains, last = chat.format_tree(spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").repartition(3), path)
     nodes = stream.orderBy("offset").collect()
-    assert len(nodes) == 6 and [n.offset for n in nodes] == list(np.cumsum([0, *[n.chars for n in nodes[:-1]]]))
+    assert len(nodes) == 7 and [n.offset for n in nodes] == list(np.cumsum([0, *[n.tokens for n in nodes[:-1]]]))
+    by_id, about = {n.node: n for n in nodes}, {c.chain: c for c in chains.collect()}
+    children = {}
+    for n in nodes:
+        children.setdefault(n.parent, []).append(n)
+        above, at = set(), n
+        while at.parent:
+            at = by_id[at.parent]
+            above |= set(range(at.offset, at.offset + at.tokens))
+        c = about[n.chain]
+        spans = [(a.offset, a.tokens) for a in c.attends] + [(c.offset, n.offset - c.offset)]
+        assert above == {k for o, m in spans for k in range(o, o + m)} and n.position == len(above)
+
+    def size(n):  # a subtree is one interval that begins with its root
+        return n.tokens + sum(map(size, children.get(n.node, [])))
+
     for n in nodes:
-        assert sum(a.chars for a in n.attends) == n.position
-    turns = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(stream, branches).collect()}
-    assert turns == {1: [("user", "hi"), ("assistant", "a\\<[x]")], 2: [("user", "hi"), ("assistant", "b"), ("user", "")], 3: [("", "</s>[INST]")], None: [("assistant", "n")]}
+        inside = [m.offset for m in children.get(n.node, [])]
+        assert all(n.offset < o < n.offset + size(n) for o in inside)
+    turns = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(stream, chains, last, path).collect()}
+    hi = ("user", "hi")
+    assert turns == {1: [hi, ("assistant", "a\\<[x]")], 2: [hi, ("assistant", "b"), ("user", "")], 3: [("", "</s>[INST]")], None: [("assistant", "n")], 4: [hi], 5: [hi, hi]}
+    assert chat.format_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))[0].count() == 0
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    rows = spark.range(5000).selectExpr("1 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    rows = rows.unionByName(spark.range(3000).selectExpr("2", "id", "if(id % 2 = 0, 'user', 'assistant')", "concat('turn ', id)").toDF("conv_id", "turn", "role", "text"))
+    stream, chains, last = chat.format_tree(rows)
+    assert stream.count() == 5000 and chains.count() == 1  # the second is the beginning of the first
+    got = {r.conv_id: r.n for r in chat.read_back(stream, chains, last).select("conv_id", F.size("turns").alias("n")).collect()}
+    assert got == {1: 5000, 2: 3000}
 
 
 def test_mixing_budgets_and_prefixes(spark, odd):
