@@ -142,3 +142,13 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
     hot = right.where(F.col(weight) > limit)
     cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(weight) <= limit), key)
     return left.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def carrying(df: DataFrame, used: list[str], added: list[str], work: Callable[[DataFrame], DataFrame], gone: tuple[str, ...] = ()) -> DataFrame:
+    """``work`` on the columns ``used`` of ``df`` alone; the result has the columns of ``df``, which travel in one
+    struct so that no name can clash, and those ``added``. A column of ``df`` that is named as an added one is
+    replaced; ``gone`` are left out."""
+    kept = [c for c in df.columns if c not in added and c not in gone]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    out = work(df.select(row.alias("_row"), *[F.col(f"`{c}`") for c in dict.fromkeys(used)]))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in kept], *added)

@@ -6,7 +6,8 @@ of known licences by a hash join, for the entire text and for each of its lines;
 matches.
 
 Defined results: null and blank texts have no digest match. Rows are judged one by one, repeated
-rows and null ids included. Empty tables give empty results. Whole texts are read.
+rows and null ids included. Empty tables give empty results. Whole texts are read. Other columns stay;
+one that is named as an added column is replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import carrying, settle
 
 #: Equivalent spellings (fixed values), applied to canonical text in this order.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("copyright owner", "copyright holder"), ("whilst", "while"), ("v 2", "version 2"), ("v 3", "version 3"))
@@ -71,7 +72,7 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession, licences=KNOWN) -> DataFrame:
     """(digest, licence), one row per digest; as many rows as licences were given."""
-    rows = spark.createDataFrame(list(licences), "licence string, text string")
+    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("licence"), F.lit(b).alias("text")) for a, b in licences])))
     return rows.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
@@ -87,6 +88,10 @@ def scan(df: DataFrame, licences: DataFrame, text: str = "text") -> DataFrame:
     need no key and only matching lines are shuffled. Canonical forms are settled, so that filters
     and joins on digests don't compute them again.
     """
+    return carrying(df, [text], ["digest", "licence", "line_licences"], lambda rows: _scan(rows, licences, text))
+
+
+def _scan(df: DataFrame, licences: DataFrame, text: str) -> DataFrame:
     small = licences.count() <= BROADCAST_ROWS
     side = F.broadcast(licences) if small else licences
     t = F.coalesce(F.col(text), F.lit(""))

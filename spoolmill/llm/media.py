@@ -7,7 +7,8 @@ type (whatever was declared) and carves embedded media out of it, outermost firs
 Text payloads are stored losslessly as 8-bit mono PCM in a WAVE container.
 
 Defined results: a null text is empty; empty blobs have no media. Rows are handled one by one,
-repeated rows and null ids included. Empty tables give empty results. Whole texts are stored.
+repeated rows and null ids included. Empty tables give empty results. Whole texts are stored. Other
+columns are not read or kept.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ unspent. Token counts times the sum of sibling weights must stay below 2^63.
 
 Defined results: a token is a word. Null and blank texts have no tokens and are never taken. Null
 languages and sources are leaves of their own. Ties of the seeded order (repeated rows) are broken
-arbitrarily among equal rows. A budget of 0 or an empty table gives an empty result.
+arbitrarily among equal rows. A budget of 0 or an empty table gives an empty result. Other columns stay;
+one that is named as an added column is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, settle
+from .common import WORD, carrying, cut, settle
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of the registered query (fixed values); anything else weighs 1.
@@ -88,10 +89,18 @@ def select(df: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, *,
 
     Texts are never shuffled: leaf totals, and where each leaf's last epoch ends, are small tables.
     """
+
+    def work(rows: DataFrame) -> DataFrame:
+        return _select(rows, weights, part, epochs, seed, text, doc, keep_text)
+
+    return carrying(df, [text, doc, "lang", "source"], ["domain", "n_tokens", "epoch", "take"], work, () if keep_text else (text,))
+
+
+def _select(df: DataFrame, weights: Mapping[str, Mapping[str, int]], part: tuple[int, int], epochs: int, seed: int, text: str, doc: str, keep_text: bool) -> DataFrame:
     counted = df.withColumn("domain", domain_of(F.col("source"))).withColumn("n_tokens", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"))
-    counted = settle(counted, "domain", "n_tokens")
+    counted = settle(counted, "domain", "n_tokens").drop(text)
     if not keep_text:
-        counted = cut(counted.drop(text))
+        counted = cut(counted)
     small = counted.select(*LEVELS, doc, "n_tokens") if not keep_text else cut(counted.select(*LEVELS, doc, "n_tokens"))
     plan = cut(budgets(small.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), weights, part=part, epochs=epochs))
     plan = plan.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.expr("budget div tokens").alias("_full"), F.expr("budget % tokens").alias("_rest"))

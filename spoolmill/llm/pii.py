@@ -8,7 +8,8 @@ kinds always stay; the classifier decides which of the further candidates are ad
 
 Defined results: a null text has no spans. Rows are judged one by one, so repeated rows and null ids
 repeat their spans. Empty tables give empty results. Whole texts are read; offsets are code points,
-ends exclusive.
+ends exclusive. Other columns stay; one that is named as an added column is replaced, and ``redact``
+adds none.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak
-from .common import between, cut, cut_up, let, scan, settle
+from .common import between, carrying, cut, cut_up, let, scan, settle
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "name", "national_id", "secret")
@@ -207,6 +208,14 @@ def detect(df: DataFrame, text: str = "text", *, keep_text: bool = True, thresho
     Without ``keep_text`` the texts are read once and only spans are checkpointed; with it they are
     read once for the fit and once for the result.
     """
+
+    def work(rows: DataFrame) -> DataFrame:
+        return _detect(rows, text, keep_text, threshold)
+
+    return carrying(df, [text], ["spans"], work, () if keep_text else (text,))
+
+
+def _detect(df: DataFrame, text: str, keep_text: bool, threshold: float) -> DataFrame:
     found = find(df, text)
     if not keep_text:
         found = cut(found.drop(text))
@@ -227,7 +236,11 @@ def listed(spans: Column) -> Column:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace every detected span in ``text`` by ``<KIND>``; overlapping spans are joined under the
     first one's kind. Null texts stay null; other columns are unchanged."""
-    out = detect(df, text)
+    return carrying(df, [text], [text], lambda rows: _redact(rows, text)).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _redact(df: DataFrame, text: str) -> DataFrame:
+    out = _detect(df, text, True, 0.5)
     t = F.col(text)
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
 

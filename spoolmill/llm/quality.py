@@ -5,7 +5,8 @@ their accuracies from the votes of all documents, and the posterior probability
 decides, in place of a list of rules that must all pass. No label is read.
 
 Defined results: a null text has no words (all counts 0). Empty tables give empty results. Rows are
-judged one by one, so repeated rows and null ids repeat their verdict. Whole texts are read.
+judged one by one, so repeated rows and null ids repeat their verdict. Whole texts are read. Other
+columns stay; one that is named as an added column is replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak
-from .common import SPACES, cut, let, settle
+from .common import SPACES, carrying, cut, let, settle
 
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("symbols", "repeats", "lines", "capitals", "word_length", "exclamations")
@@ -100,9 +101,17 @@ def judge(df: DataFrame, text: str = "text", *, keep_text: bool = True, threshol
     ``keep_text`` the text column goes and the texts are read once, since the votes are checkpointed;
     with it, texts are read once for the fit and once for the verdict, and nothing is written.
     """
-    voted = settle(votes(signals(df, text), text), *SIGNALS, "base_failed", "votes")
+
+    def work(rows: DataFrame) -> DataFrame:
+        return _judge(rows, text, keep_text, threshold)
+
+    return carrying(df, [text], [*SIGNALS, "base_failed", "votes", "quality", "kept"], work, () if keep_text else (text,))
+
+
+def _judge(df: DataFrame, text: str, keep_text: bool, threshold: float) -> DataFrame:
+    voted = settle(votes(signals(df, text), text), *SIGNALS, "base_failed", "votes").drop(text)
     if not keep_text:
-        voted = cut(voted.drop(text))
+        voted = cut(voted)
     model = weak.fit(voted.select("votes"), "votes", len(RULES), learn_prior=False)
     scored = voted.withColumn("quality", weak.posterior(model, "votes"))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

@@ -12,7 +12,7 @@ the distinct contexts in which it occurs, so copies of one text count once.
 
 Defined results: null and empty texts match nothing and get the base score. A null id counts as held
 out. No labels (or an empty table): listed words alone, with the starting weights. Rows are scored one
-by one, repeated rows and null ids included. Whole texts are read.
+by one, repeated rows and null ids included. Whole texts are read. Other columns are not read or kept.
 """
 
 from __future__ import annotations

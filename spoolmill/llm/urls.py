@@ -13,7 +13,8 @@ row per range.
 
 Defined results: null urls and urls without ``://`` have an empty host and path and fit no rule.
 Every input row comes back once, also repeated rows and null ids. Of rules of equal length the one
-with the longer host wins. Empty tables give empty results.
+with the longer host wins. Empty tables give empty results. Other columns stay; one that is named as an
+added column is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranged
+from .common import carrying, ranged
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict) of the registered query (fixed values).
@@ -42,7 +43,8 @@ def _reversed(host: Column) -> Column:
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _stacks(rules: DataFrame) -> DataFrame:
@@ -60,11 +62,16 @@ def _stacks(rules: DataFrame) -> DataFrame:
 
 def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` (``host`` and ``path`` joined, or null) and ``verdict``."""
+    return carrying(df, [url], ["host", "path", "rule", "verdict"], lambda rows: _judge(rows, rules, url, default))
+
+
+def _judge(df: DataFrame, rules: DataFrame, url: str, default: str) -> DataFrame:
     df = split_url(df, url)
     urls = df.select("host", "path").distinct()
     labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    keys = urls.select("host", "path", F.explode(suffixes).alias("on")).join(rules.select(F.col("host").alias("on")).distinct(), "on", "left_semi")
+    deep = rules.agg(F.collect_set(F.size(F.split("host", "\\."))).alias("sizes"))  # as many as lengths of rules' hosts
+    suffixes = F.transform(F.filter("sizes", lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    keys = urls.join(F.broadcast(deep)).select("host", "path", F.explode(suffixes).alias("on")).join(rules.select(F.col("host").alias("on")).distinct(), "on", "left_semi")
     keys = keys.select(_reversed(F.col("on")).alias("key"), "path", F.lit(1).alias("kind"), "host", F.lit(None).cast("array<struct<length:int,path:string,verdict:string>>").alias("stack"))
     opened = _stacks(rules).select("key", "path", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack")
     rows = ranged(keys.unionByName(opened), "key", "path", "kind", "host")

@@ -32,6 +32,32 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     assert same(queries.QUERIES[name](spark, SF), queries.ORACLES[name], SF) > 0
 
 
+#: Names that the operators use themselves, for what they add and inside.
+CLASH = "licence _licence digest _t _c _l _h hit host path rule verdict _rest _end _lang _domain domain take epoch n_tokens found spans base votes _w quality kept _id id key row blank n words _row node m a b conv_id sid chain".split()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_clashing_names_and_empty_tables(spark, odd, empty):
+    import public_tokenizers
+
+    df = odd.select("doc_id", "text", "lang", "source", *[F.lit(f"old {c}").alias(c) for c in CLASH], F.lit("http://a.com/x").alias("url"))
+    df = df.limit(0) if empty else df
+    n = 0 if empty else len(ODD)
+    rules, path = urls.rule_table(spark), public_tokenizers.path("word_bpe_49k.json")
+    runs = {
+        "pii": (pii.detect(df), {"spans"}), "redact": (pii.redact(df), set()), "urls": (urls.judge(df, rules), {"host", "path", "rule", "verdict"}), "licences": (licenses.scan(df, licenses.known(spark)), {"digest", "licence", "line_licences"}),
+        "mixing": (mixing.select(df), {"domain", "n_tokens", "epoch", "take"}), "quality": (quality.judge(df), {*quality.SIGNALS, "base_failed", "votes", "quality", "kept"}), "keep_one": (jaccard.keep_one(df), set()),
+    }
+    for name, (out, added) in runs.items():
+        assert len(set(out.columns)) == len(out.columns) and set(out.columns) == set(df.columns) | added, name
+        rows = out.collect()
+        assert all(r[c] == f"old {c}" for r in rows for c in CLASH if c not in added), name
+        if name not in ("mixing", "keep_one"):
+            assert len(rows) == n, name
+    fixed = [toxicity.score(df, {"x": 1.0}, list(toxicity.START)), media.read_back(media.to_media(df)), jaccard.join(df)]
+    assert [x.count() for x in fixed] == [n] * 3 and (packing.pack(df, path).count() == 0) == empty
+
+
 def luhn(d):
     return sum(int(x) if i % 2 == 0 else int(x) * 2 - 9 * (int(x) > 4) for i, x in enumerate(reversed(d))) % 10 == 0
 
