@@ -58,31 +58,32 @@ def with_probe(df: DataFrame) -> DataFrame:
 _LANES = 4
 
 
-def along(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
+def along(rows: DataFrame, order: list[str], values: list[str]) -> DataFrame:
     """Add ``<value>_0``, the sum of each value over the rows of the same conv_id before this one in
-    ``order``. Rows are range-partitioned; only conversations that cross a border, at most two a range,
-    bring sums from range to range."""
-    rows = ranged(df, "conv_id", *order, "_tie")
-    here = Window.partitionBy("_pid", "conv_id").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({f"{v}_0": F.coalesce(F.sum(v).over(here), F.lit(0)) for v in values})
-    ends = rows.groupBy("_pid").agg(F.min(F.struct(F.col("conv_id").isNotNull().alias("_k"), "conv_id")).alias("a"), F.max(F.struct(F.col("conv_id").isNotNull().alias("_k"), "conv_id")).alias("b"))
-    ends = ends.select("_pid", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select("_pid", F.col("x.conv_id").alias("_conv"))  # two a range
-    same = (F.col("conv_id").eqNullSafe(F.col("_conv"))) & (rows["_pid"] == F.col("_at"))
-    totals = rows.join(F.broadcast(ends.withColumnRenamed("_pid", "_at")), same).groupBy("_at", "_conv").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    ``order``. ``rows`` are range-partitioned by conversation and order, with the range as ``_pid``; only
+    conversations that cross a border, at most two a range, bring sums from range to range."""
+    here = Window.partitionBy("_pid", "conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.struct(F.col("conv_id").isNotNull().alias("k"), "conv_id")
+    ends = rows.groupBy("_pid").agg(F.min(end).alias("a"), F.max(end).alias("b")).select(F.col("_pid").alias("_at"), F.explode(F.array_distinct(F.array("a", "b"))).alias("x"))
+    ends = ends.select("_at", F.col("x.conv_id").alias("_conv"))  # two a range
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_pid") == F.col("_at"))
+    totals = rows.join(F.broadcast(ends), same).groupBy("_at", "_conv").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     before = Window.partitionBy("_conv").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
     carried = totals.select("_at", "_conv", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
-    out = rows.join(F.broadcast(carried), same, "left")
-    return out.withColumns({f"{v}_0": F.col(f"{v}_0") + F.coalesce(f"_{v}", F.lit(0)) for v in values}).drop("_at", "_conv", *[f"_{v}" for v in values], "_pid")
+    out = rows.withColumns({f"{v}_0": F.coalesce(F.sum(v).over(here), F.lit(0)) for v in values}).join(F.broadcast(carried), same, "left")
+    return out.withColumns({f"{v}_0": F.col(f"{v}_0") + F.coalesce(f"_{v}", F.lit(0)) for v in values}).drop("_at", "_conv", *[f"_{v}" for v in values])
 
 
 def paths(df: DataFrame) -> DataFrame:
     """(conv_id, depth, node, parent, piece): the nodes that each conversation passes."""
     piece = turn_text(F.col("role"), F.col("text"))
-    rows = df.select("conv_id", "turn", "role", "text", piece.alias("piece"), F.lit(1).alias("one"), F.monotonically_increasing_id().alias("_tie"))
-    placed = cut(along(rows, ["turn", "role", "text"], ["one"])).select("conv_id", F.col("one_0").alias("depth"), "piece", F.lit(0).alias("_tie"))
+    rows = df.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("_tie"))
+    order = ["turn", "role", "text", "_tie"]
+    placed = along(ranged(rows, "conv_id", *order).withColumn("one", F.lit(1)), order, ["one"])
+    placed = placed.select("conv_id", "_pid", F.col("one_0").alias("depth"), piece.alias("piece"))
     digest = F.sha2(F.concat("depth", F.lit(":"), "piece"), 256)
     lanes = {f"l{k}": F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(_LANES)}
-    summed = along(placed.withColumns(lanes), ["depth"], list(lanes))
+    summed = along(cut(placed.withColumns(lanes)), ["depth"], list(lanes))
 
     def name(depth: Column, *sums: Column) -> Column:
         return F.substring(F.sha2(F.concat_ws(":", depth.cast("string"), *[x.cast("string") for x in sums]), 256), 1, 32)
@@ -92,6 +93,10 @@ def paths(df: DataFrame) -> DataFrame:
     return summed.select("conv_id", "depth", node.alias("node"), parent.alias("parent"), "piece")
 
 
+#: Turns that are tokenised at a time.
+_BATCH = 256
+
+
 def tokenised(nodes: DataFrame, tokenizer: str | None) -> DataFrame:
     """Add ``tokens``, how many a node has, and ``ids``; without a tokenizer characters, and null."""
     if tokenizer is None:
@@ -103,8 +108,10 @@ def tokenised(nodes: DataFrame, tokenizer: str | None) -> DataFrame:
         model = Tokenizer.from_file(tokenizer)
         model.encode_special_tokens = True
         for batch in batches:
-            ids = [x.ids for x in model.encode_batch(batch.column(batch.num_columns - 1).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "tokens", "ids"])
+            for at in range(0, batch.num_rows, _BATCH):
+                some = batch.slice(at, _BATCH)
+                ids = [x.ids for x in model.encode_batch_fast(some.column(some.num_columns - 1).to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [*some.schema.names, "tokens", "ids"])
 
     rest = [c for c in nodes.columns if c != "piece"]
     types = dict(nodes.dtypes)
@@ -189,8 +196,10 @@ def _decoded(df: DataFrame, tokenizer: str) -> DataFrame:
 
         model = Tokenizer.from_file(tokenizer)
         for batch in batches:
-            texts = [model.decode(x.as_py(), skip_special_tokens=False) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["conv_id", "formatted"])
+            for at in range(0, batch.num_rows, _BATCH):
+                some = batch.slice(at, _BATCH)
+                texts = [model.decode(x.as_py(), skip_special_tokens=False) for x in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], ["conv_id", "formatted"])
 
     return df.mapInArrow(run, "conv_id bigint, formatted string")
 
