@@ -125,7 +125,12 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFr
 
 
 #: Keys of more rows than this are hot, and of very many rows, those above the total over ``HOT_KEYS``.
-HOT, HOT_KEYS = 1000, 20_000
+HOT, HOT_KEYS = 10_000, 20_000
+
+
+def is_hot(most: int | None, total: int | None) -> bool:
+    """Whether a key of ``most`` of ``total`` rows should be joined apart."""
+    return (most or 0) > max(HOT, (total or 0) // HOT_KEYS)
 
 
 def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
@@ -136,9 +141,9 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
     them, since each has more than the total over ``HOT_KEYS`` rows.
     """
     total, most = right.agg(F.sum(weight), F.max(weight)).first()
-    limit = max(HOT, (total or 0) // HOT_KEYS)
-    if (most or 0) <= limit:
+    if not is_hot(most, total):
         return left.join(right, key)
+    limit = max(HOT, total // HOT_KEYS)
     hot = right.where(F.col(weight) > limit)
     cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(weight) <= limit), key)
     return left.join(F.broadcast(hot), key).unionByName(cold)

@@ -35,6 +35,7 @@ of the input, whatever their names, are kept by ``keep_one`` and not read by ``j
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, exp, log
 
 import numpy as np
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_spread, parts
+from .common import cut, is_hot, join_spread, parts
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
 TOKENS, DEPTH, SMALL, BRANCH, FULL = 64, 12, 256, 1.5, 2
@@ -262,17 +263,12 @@ def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Gene
     roots = F.array(*[F.xxhash64(F.lit(r), F.lit(i), F.get("sk", F.lit(i))) for r, i in chosen])
     rows = labelled.select("sid", "label", F.explode(roots).alias("node"))
     tokens = sets.select("sid", "n", "sk")
-    found, total = [], sets.count()
-
-    def compare(buckets: DataFrame) -> None:
-        near = _dealt(buckets.join(tokens, "sid"))
-        found.append(near.select("bucket", "sid", "side", "cross", "n", "sk").mapInArrow(_alike(threshold), "a binary, b binary").where("a IS NOT NULL"))
+    found, met, total = [], [], sets.count()
 
     def union() -> DataFrame:
-        out = found[0]
-        for x in found[1:]:
-            out = out.unionByName(x)
-        return out.distinct()
+        near = _dealt(reduce(DataFrame.unionByName, met).join(tokens, "sid"))
+        pairs = near.select("bucket", "sid", "side", "cross", "n", "sk").mapInArrow(_alike(threshold), "a binary, b binary").where("a IS NOT NULL")
+        return reduce(DataFrame.unionByName, [pairs, *found]).distinct()
 
     for level in range(1, DEPTH + 1):
         labels = F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")
@@ -280,11 +276,11 @@ def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Gene
         rows = cut(join_spread(rows, counts, "node", "m"))
         small = rows.where(F.col("m") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
         small = small.select("sids").distinct().select(F.xxhash64("sids").alias("bucket"), F.explode("sids").alias("sid"))
-        compare(small.select("bucket", "sid", F.lit(0).alias("side"), F.lit(False).alias("cross")))
+        met.append(small.select("bucket", "sid", F.lit(0).alias("side"), F.lit(False).alias("cross")))
         rows = rows.where(F.col("m") > SMALL)
         ships = counts.where(F.col("m") > SMALL).agg(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK))).first()[0]
         if ships is not None and (ships <= FULL * total or level == DEPTH):
-            compare(all_pairs(rows.select("node", "sid", "m"), "node", F.col("m"), "sid"))
+            met.append(all_pairs(rows.select("node", "sid", "m"), "node", F.col("m"), "sid"))
         if ships is None or ships <= FULL * total or level == DEPTH:
             return union()
         # the least set of a node is its pivot, so nodes of one group mostly share theirs
@@ -301,34 +297,38 @@ def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Gene
         sizes = cut(sizes.withColumn("m", F.col("p") + F.col("q")))
         if not sizes.isEmpty():
             edge = join_spread(held.where(gone | between).select("node", "sid", "like"), sizes, "node", "m")
-            compare(two_sided(edge.where(between), edge.where(gone), "node", (F.col("q"), F.col("p")), "sid"))
+            met.append(two_sided(edge.where(between), edge.where(gone), "node", (F.col("q"), F.col("p")), "sid"))
         rest, often = held.where(~gone), round(1000 * BRANCH / rate)
         picked = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.pmod(F.xxhash64(F.col("node"), i, F.lit(seed)), F.lit(1000)) < often)
         rows = rest.select("sid", "label", F.explode(F.transform(picked, lambda i: F.xxhash64(F.col("node"), i, F.get(F.col("sk"), i)))).alias("node"))
     return union()
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, hot: bool) -> DataFrame:
     """``edges`` (a, b) with ``m``, the least of a and its neighbours b."""
-    least = cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")))
-    return join_spread(edges, least.select("a", F.least("a", "m").alias("m"), "_n"), "a", "_n")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
+    return join_spread(edges, cut(least), "a", "_n") if hot else edges.join(least, "a")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the least node of its component.
 
     Large-star and small-star steps alternate until all edges lead from a node to its root; each is one
-    aggregation and one join of edges, checkpointed. Nodes of very many edges are joined apart.
+    aggregation and one join of edges, and a round is written. Nodes of very many edges are joined apart.
     """
     ends = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     e = cut(edges.where("a <> b").select(*ends).distinct())
     while True:
         seen = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if seen.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
+        degrees = seen.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        open_ = (F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)
+        going, most, total = degrees.agg(F.count_if(open_), F.max(F.col("up") + F.col("down")), F.sum(F.col("up") + F.col("down"))).first()
+        if not going:
             break
+        hot = is_hot(most, total)  # no step makes a node of more neighbours than these
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = cut(_with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        small = _with_least(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        large = _with_least(both, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = _with_least(cut(large) if hot else large, hot).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         e = cut(small.select("x.*").where("a <> b").distinct())
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
