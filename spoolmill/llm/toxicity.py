@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read the tokens of a clause together: insult (learned words), threat, target,
-negation and reported speech. Their composition is one machine whose state is the product of theirs;
-it emits a weighted match per insult or threat, marked as plain, aimed at a target, negated or
-reported. A text's score is a logistic function of the matched weights; isolated words outside a
-match count for nothing, and only clauses with a learned or listed word are read token by token.
+Five transducers read the words of a clause: insult (learned words), threat, target, negation and
+reported speech. Each reads what the one before it writes; their composition is one machine, whose
+states are built when they are met. It writes a match per insult or threat: plain, aimed at a target,
+negated or reported. Guesses about words still to come are paths of their own, of which one survives.
+A text's score is a logistic function of the weights of its matches. A listed word whose clause has no
+other words is no match; only clauses with a learned or listed word are read word by word. A plain match
+needs no target: the words around it only have to be a clause that neither negates nor reports it.
 
 The insult lexicon and the weights are fitted on labelled rows alone whose crc32(doc_id) is not
 divisible by 5, at most ``SAMPLE`` of them, chosen by a hash of the id. A word enters the lexicon by
@@ -12,13 +14,14 @@ the distinct contexts in which it occurs, so copies of one text count once.
 
 Defined results: null and empty texts match nothing and get the base score. A null id counts as held
 out. No labels (or an empty table): listed words alone, with the starting weights. Rows are scored one
-by one, repeated rows and null ids included. Whole texts are read. Other columns are not read or kept.
+by one, repeated rows and null ids included; of rows that share a labelled id the fit reads the least text.
+Whole texts are read. Other columns are not read or kept.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log, log1p
 
 import numpy as np
@@ -43,16 +46,132 @@ _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”„«»]")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
+#: The symbols of a clause's words, and the quotation mark, which is no word.
+WORDS = ("other", "insult", "threat", "target", "negation", "report")
+MATCHES = ("insult", "threat", "aimed", "aimed_threat")
+ALPHABET = (*WORDS, "aimed", "aimed_threat", "negated", "reported", "quote")
+
+
+class Transducer:
+    """A finite-state transducer. ``arcs(state, symbol)`` lists (next state, output); a path may end in
+    the states that ``final`` accepts. A symbol without arcs ends the path."""
+
+    def __init__(self, start, arcs: Callable, final: Callable):
+        self.start, self.final, self._arcs, self._known = start, final, arcs, {}
+
+    def arcs(self, state, symbol: str) -> list[tuple]:
+        got = self._known.get((state, symbol))
+        if got is None:
+            got = self._known[state, symbol] = list(self._arcs(state, symbol))
+        return got
+
+    def __matmul__(self, then: Transducer) -> Transducer:
+        """The composition: ``then`` reads what this one writes. Its states are built when met."""
+
+        def arcs(state, symbol):
+            for here, between in self.arcs(state[0], symbol):
+                for there, out in then.arcs(state[1], between):
+                    yield (here, there), out
+
+        return Transducer((self.start, then.start), arcs, lambda s: self.final(s[0]) and then.final(s[1]))
+
+    def paths(self, symbols: list[str]) -> list[list[tuple[int, str]]]:
+        """The outputs other than ``other`` of each accepting path, as (position, output)."""
+        alive = [(self.start, None)]
+        for i, symbol in enumerate(symbols):
+            alive = [(to, found if out == "other" else (found, i, out)) for state, found in alive for to, out in self.arcs(state, symbol)]
+        done = []
+        for state, found in alive:
+            if self.final(state):
+                out = []
+                while found is not None:
+                    found, i, kind = found
+                    out.append((i, kind))
+                done.append(out[::-1])
+        return done
+
+
+def in_context(match: str) -> Transducer:
+    """Keeps ``match`` where its clause has other words too; in a clause of such words alone it goes.
+    A clause that begins with one is read on two paths, of which one survives."""
+
+    def arcs(state, symbol):
+        if symbol == "quote":
+            return [(state, symbol)]
+        if symbol != match:
+            return [] if state == "alone" else [("context", symbol)]
+        return {"begin": [("hoping", match), ("alone", "other")], "hoping": [("hoping", match)], "alone": [("alone", "other")], "context": [("context", match)]}[state]
+
+    return Transducer("begin", arcs, lambda state: state != "hoping")
+
+
+def aimed(reach: int) -> Transducer:
+    """Marks a match as aimed that has a target at most ``reach`` words before or after it. State: words
+    for which the last target still reaches, in which a target must come, and in which none may."""
+
+    def arcs(state, symbol):
+        if symbol == "quote":
+            return [(state, symbol)]
+        near, must, never = state
+        if symbol == "target":
+            return [] if never else [((reach, 0, 0), "other")]
+        if must == 1:  # the target that a path hoped for does not come
+            return []
+        near_, must, never = max(near - 1, 0), max(must - 1, 0), max(never - 1, 0)
+        if symbol not in ("insult", "threat"):
+            return [((near_, must, never), symbol)]
+        what = {"insult": "aimed", "threat": "aimed_threat"}[symbol]
+        if near:
+            return [((near_, must, never), what)]
+        return [((0, must or reach, never), what), ((0, must, reach), symbol)]
+
+    return Transducer((0, 0, 0), arcs, lambda state: not state[1])
+
+
+def negated(reach: int) -> Transducer:
+    """Turns matches into ``negated`` at most ``reach`` words after a negation."""
+
+    def arcs(state, symbol):
+        if symbol == "quote":
+            return [(state, symbol)]
+        if symbol == "negation":
+            return [(reach, "other")]
+        return [(max(state - 1, 0), "negated" if state and symbol in MATCHES else symbol)]
+
+    return Transducer(0, arcs, lambda state: True)
+
+
+def reported() -> Transducer:
+    """Turns matches into ``reported`` after a verb of speech and between quotation marks."""
+
+    def arcs(state, symbol):
+        said, quoted = state
+        if symbol == "quote":
+            return [((said, not quoted), "other")]
+        if symbol == "report":
+            return [((True, quoted), "other")]
+        return [(state, "reported" if (said or quoted) and symbol in MATCHES else symbol)]
+
+    return Transducer((False, False), arcs, lambda state: True)
+
+
+def composed(reach: int = REACH) -> Transducer:
+    """Insult, threat, target, negation and reported speech, one after the other. Every clause has
+    exactly one accepting path."""
+    return in_context("insult") @ in_context("threat") @ aimed(reach) @ negated(reach) @ reported()
+
+
 class Grammar:
-    """The composed machine. ``lexicon`` maps insults to weights."""
+    """The composed machine over texts. ``lexicon`` maps insults to weights."""
 
     def __init__(self, lexicon: dict[str, float]):
         import ahocorasick
 
-        self.symbol: dict[str, tuple[str, float]] = {}
+        self.symbol: dict[str, tuple[str, float]] = dict.fromkeys("\"“”„«»", ("quote", 0.0))
         for words, kind in ((REPORTS, "report"), (NEGATIONS, "negation"), (TARGETS, "target"), (THREATS, "threat")):
             self.symbol |= {w: (kind, 1.0) for w in words}
         self.symbol |= {w: ("insult", x) for w, x in lexicon.items()}
+        self.machine = composed()
         self.find = ahocorasick.Automaton()
         for w, (kind, _) in self.symbol.items():
             if kind in ("insult", "threat"):
@@ -60,49 +179,23 @@ class Grammar:
         self.find.make_automaton()
 
     def clause(self, text: str) -> list[tuple[str, float]]:
-        """Run the machine over one lower-case clause. Its state: tokens left under a negation, tokens
-        since a target, whether speech is reported, inside quotation marks, and the last match."""
-        negated, since, reported, quoted, out, last = 0, REACH + 1, False, False, [], None
-        for token in _TOKEN.findall(text):
-            if token in "\"“”„«»":
-                quoted = not quoted
-                continue
-            kind, weight = self.symbol.get(token, ("other", 0.0))
-            since += 1
-            if kind == "report":
-                reported = True
-            elif kind == "negation":
-                negated = REACH + 1
-            elif kind == "target":
-                since = 0
-                if last is not None and last[1] >= 0:  # a target that follows its match
-                    i, _ = last
-                    out[i] = ({"plain": "aimed", "threat": "aimed_threat"}.get(out[i][0], out[i][0]), out[i][1])
-            elif kind in ("insult", "threat"):
-                aimed = since <= REACH
-                what = "negated" if negated else "reported" if reported or quoted else ("aimed" if aimed else "plain") if kind == "insult" else ("aimed_threat" if aimed else "threat")
-                out.append((what, weight))
-                last = (len(out) - 1, REACH + 1)
-            if last is not None:
-                last = (last[0], last[1] - 1)
-            negated = max(0, negated - 1)
-        return out
+        """The matches of one lower-case clause in order: (kind, weight)."""
+        read = [self.symbol.get(token, ("other", 0.0)) for token in _TOKEN.findall(text)]
+        (found,) = self.machine.paths([kind for kind, _ in read])
+        return [("plain" if kind == "insult" else kind, read[i][1]) for i, kind in found if kind in MATCHES or kind in KINDS]
 
     def features(self, text: str | None) -> list[float]:
         """The logarithm of each kind's matched weight in the text."""
         low = (text or "").lower()
-        spans: dict[int, int] = {}
+        total = dict.fromkeys(KINDS, 0.0)
         done = 0
         for end, n in self.find.iter(low):
             if end < done or end + 1 < len(low) and low[end + 1].isalnum() or end - n >= 0 and low[end - n].isalnum():
                 continue
-            start = max(low.rfind(c, 0, end) for c in ".!?;:\n") + 1
+            start = max(low.rfind(c, done, end) for c in ".!?;:\n") + 1
             m = _CLAUSE_END.search(low, end)
             done = m.start() if m else len(low)
-            spans[start] = done
-        total = dict.fromkeys(KINDS, 0.0)
-        for start, end in spans.items():
-            for kind, weight in self.clause(low[start:end]):
+            for kind, weight in self.clause(low[start:done]):
                 total[kind] += weight
         return [log1p(total[k]) for k in KINDS]
 
@@ -115,7 +208,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """At most ``size`` labelled rows outside the held-out fold: (text, toxic), whole texts."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = ids.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(size)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # size rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # size ids at most
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def lexicon(rows: DataFrame, *, strength: float = log(4)) -> dict[str, float]:

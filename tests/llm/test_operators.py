@@ -1,7 +1,10 @@
 import gzip
 import hashlib
+import itertools
 import json
+import random
 import re
+import time
 import zlib
 from uuid import uuid4
 
@@ -157,8 +160,9 @@ def test_licences(spark):
 def test_toxicity_grammar_and_held_out_accuracy(spark, odd):
     g = toxicity.Grammar({"idiot": 2.0, "clown": 2.0})
     kinds = lambda t: [k for k, _ in g.clause(t)]
+    assert kinds("idiot") == [] and kinds('"idiot"') == [] and kinds("idiot clown") == []
     assert kinds("you are an idiot") == ["aimed"] and kinds("the idiot") == ["plain"] and kinds("idiot you") == ["aimed"]
-    assert kinds("not an idiot") == ["negated"] and kinds("she said the clown") == ["reported"] and kinds('"idiot"') == ["reported"] and kinds("i will kill you") == ["aimed_threat"]
+    assert kinds("not an idiot") == ["negated"] and kinds("she said the clown") == ["reported"] and kinds('the "idiot"') == ["reported"] and kinds("i will kill you") == ["aimed_threat"]
     assert g.features("idiotic clowns") == [0.0] * len(toxicity.KINDS)
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
@@ -168,6 +172,42 @@ def test_toxicity_grammar_and_held_out_accuracy(spark, odd):
     assert toxicity.score(odd, words, weights).count() == len(ODD)
 
 
+def _matches(symbols: list[str], reach: int) -> list[tuple[int, str]]:
+    """What the composed transducers should write, by looking at each match's surroundings."""
+    out, words = [], [i for i, s in enumerate(symbols) if s != "quote"]
+    for at, i in enumerate(words):
+        if symbols[i] not in ("insult", "threat") or all(symbols[j] == symbols[i] for j in words):
+            continue
+        around = lambda kind, a, b: any(symbols[j] == kind for j in words[max(a, 0) : b])
+        said = "report" in symbols[:i] or symbols[:i].count("quote") % 2
+        if around("negation", at - reach, at):
+            out.append((i, "negated"))
+        elif said:
+            out.append((i, "reported"))
+        elif around("target", at - reach, at + reach + 1):
+            out.append((i, {"insult": "aimed", "threat": "aimed_threat"}[symbols[i]]))
+        else:
+            out.append((i, symbols[i]))
+    return out
+
+
+@pytest.mark.parametrize("reach", [1, 2, 3])
+def test_composed_transducers_against_brute_force(reach):
+    machine = toxicity.composed(reach)
+    draw = random.Random(reach)
+    alphabet = [*toxicity.WORDS, "quote"]
+    short = [list(x) for n in range(4) for x in itertools.product(alphabet, repeat=n)]
+    for symbols in short + [draw.choices(alphabet, [3, 3, 2, 2, 1, 1, 1], k=draw.randrange(4, 16)) for _ in range(3000)]:
+        assert machine.paths(symbols) == [_matches(symbols, reach)], symbols
+
+
+def test_very_many_clauses_in_one_text():
+    g = toxicity.Grammar({"idiot": 1.0})
+    begun = time.monotonic()
+    assert g.features("an idiot, " * 20_000)[0] > 9 and g.features("an idiot. " * 20_000)[0] > 9
+    assert time.monotonic() - begun < 20
+
+
 def test_media_round_trip_and_carving(spark, odd):
     got = media.read_back(media.to_media(odd)).collect()
     assert len(got) == len(ODD)
