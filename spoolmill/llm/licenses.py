@@ -1,6 +1,8 @@
 """Licence scan by canonical digests (DataFrame functions only).
 
-A text is reduced to a canonical form: copyright lines go, case, punctuation and white space are
+A text is reduced to a canonical form: copyright lines go (those that begin with "copyright" and a sign
+or year, with (c) and a year, or with the sign, and "all rights reserved"; so a licence keeps its digest
+however it is wrapped), case, punctuation and white space are
 levelled, and equivalent spellings become one. The SHA-256 of that form is looked up in the digests
 of known licences by a hash join, for the entire text and for each of its lines; nothing partial
 matches.
@@ -31,6 +33,16 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_3_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_3 = BSD_2.replace("THIS SOFTWARE IS PROVIDED BY", BSD_3_CLAUSE + "THIS SOFTWARE IS PROVIDED BY")
+ZERO_BSD = ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 KNOWN = (
     ("MIT", MIT),
     ("MIT", "MIT License\n" + MIT),
@@ -39,6 +51,13 @@ KNOWN = (
     ("ISC", "ISC License\n" + ISC),
     ("Zlib", ZLIB),
     ("Zlib", "zlib License\n" + ZLIB),
+    ("BSD-2-Clause", BSD_2),
+    ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_2),
+    ("BSD-3-Clause", BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_3),
+    ("0BSD", ZERO_BSD),
+    ("BSL-1.0", BOOST),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n" + BOOST),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -46,8 +65,8 @@ KNOWN = (
 )
 
 _STEPS = (
-    # copyright lines
-    ("(?m)^[^\\p{L}\\p{N}\n]*(?i:copyright|\\(c\\)|©|all rights reserved)[^\n]*$", " "),
+    # copyright lines: a mark or a year is needed, so that prose wrapped before "copyright" stays
+    ("(?m)^[^\\p{L}\\p{N}\n]*(?i:copyright[^\\p{L}\\p{N}\n]*(?:\\(c\\)|©|[0-9]{4})|\\(c\\)[^\\p{L}\\p{N}\n]*(?:copyright|[0-9]{4})|©|all rights reserved[^\\p{L}\\p{N}\n]*$)[^\n]*$", " "),
     # punctuation and white space
     ("[^\\p{L}\\p{N}]+", " "),
 )
@@ -108,7 +127,7 @@ def _scan(df: DataFrame, licences: DataFrame, text: str) -> DataFrame:
 
 def _sql_canonical(x: str) -> str:
     out = f"coalesce({x}, '')"
-    out = f"regexp_replace({out}, '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?i:copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?i:copyright[^\\p{{L}}\\p{{N}}\\n]*(?:\\(c\\)|©|[0-9]{{4}})|\\(c\\)[^\\p{{L}}\\p{{N}}\\n]*(?:copyright|[0-9]{{4}})|©|all rights reserved[^\\p{{L}}\\p{{N}}\\n]*$)[^\\n]*$', ' ', 'g')"
     out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
     out = f"' ' || trim(lower({out})) || ' '"
     for old, new in SPELLINGS:

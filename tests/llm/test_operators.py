@@ -172,6 +172,15 @@ def test_toxicity_grammar_and_held_out_accuracy(spark, odd):
     assert toxicity.score(odd, words, weights).count() == len(ODD)
 
 
+def test_licences_at_any_width(spark):
+    import textwrap
+
+    whole = {a: b for a, b in licenses.KNOWN if len(b) > 300}
+    rows = [(a, "Copyright (c) 2020 A B. All rights reserved.\r\n" + textwrap.fill(b, width)) for a, b in whole.items() for width in (*range(50, 121), 400)]
+    got = licenses.scan(spark.createDataFrame(rows, "want string, text string"), licenses.known(spark)).where("want <=> licence").count()
+    assert len(whole) == 7 and got == len(rows)
+
+
 def _matches(symbols: list[str], reach: int) -> list[tuple[int, str]]:
     """What the composed transducers should write, by looking at each match's surroundings."""
     out, words = [], [i for i, s in enumerate(symbols) if s != "quote"]
