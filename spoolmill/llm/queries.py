@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, licenses, media, mixing, packing, pii, quality, toxicity, urls
+from . import chat, codes, jaccard, licenses, media, mixing, packing, pii, quality, ranked, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,5 +70,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_license_scans, op4_toxicity, op5_media_columns, op6_ngram_jaccard_join, op7_chat_formatting, op8_mixing, op9_quality_rules, op10_packing)}
-ORACLES = {"op2_url_filters": urls.ORACLE, "op3_license_scans": licenses.oracle(), "op7_chat_formatting": chat.ORACLE, "op8_mixing": mixing.ORACLE}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_license_scans, op4_toxicity, op5_media_columns, op6_ngram_jaccard_join, op7_chat_formatting, op8_mixing, op9_quality_rules, op10_packing, op11_simhash, op12_vector_codes, op13_ranked_search)}
+ORACLES = {"op2_url_filters": urls.ORACLE, "op3_license_scans": licenses.oracle(), "op7_chat_formatting": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op12_vector_codes": codes.oracle(), "op13_ranked_search": ranked.ORACLE}
