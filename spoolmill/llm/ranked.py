@@ -6,11 +6,11 @@ falling value, so a list's head and what lies above a threshold are contiguous,
 
 1. Heads: each list's ``TOP`` highest entries. The scores of their documents, looked up, are lower bounds: an item's
    ``TOP``-th highest, t1, is no more than the score that its last result has.
-2. Threshold: with m lists, every list of the item is read down to the same value T = t1 / m. A document without
-   an entry of T or more scores less than t1 and is no result. The others get a partial score and an upper bound, with
-   T - 1 (or the list's highest value, if that is less) in place of each value that wasn't read; those whose bound
-   reaches t1, and then the ``TOP``-th highest partial score t2, are candidates.
-3. Lookup: the candidates' remaining values are looked up, which makes their scores exact.
+2. Threshold: every list of the item is read down to the same value T, the highest for which a document that isn't
+   met scores less than ``ALPHA`` * t1: what a list may still hold is less than T, no more than its highest value, and nothing once it
+   was read to its end. With m lists T is at least ``ALPHA`` * t1 / m. The documents that are met get a partial score and an upper bound;
+   those whose bound reaches t1 are candidates. The scores of each item's ``PROBES`` best, looked up, raise the lower bound to t2.
+3. Lookup: the remaining values of the candidates whose bound reaches t2 are looked up, which makes their scores exact.
 
 An entry is shuffled once to its document, however many items want it. Items are worked on in blocks of about
 ``PAIRS`` (item, term) pairs, so what is broadcast of them is bounded.
@@ -27,11 +27,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_spread, parts
+from .jaccard import grouped
 from .simhash import blocks
 
 TOP = 10
@@ -39,6 +41,10 @@ TOP = 10
 PAIRS = 200_000
 #: Documents that are broadcast for a lookup; more are joined by a shuffle.
 LOOKUPS = 2_000_000
+#: Lists are read as if the lower bound were this share of itself: deeper than needed, which leaves fewer lookups.
+ALPHA = 0.5
+#: Candidates of an item whose scores raise its lower bound before the others are looked up.
+PROBES = 100
 #: Rows of a batch that a task gives back.
 _ROWS = 100_000
 #: Bytes as terms have them: letters and digits lower-cased, bytes of other characters, else a space.
@@ -140,27 +146,56 @@ def _looked_up(postings: DataFrame, wanted: DataFrame, pairs: DataFrame) -> Data
     return wanted.join(entries, "row").join(F.broadcast(pairs.select("item", "tid")), ["item", "tid"], "left_semi").groupBy("item", "row").agg(F.sum("value").alias("score"))
 
 
-def _block(postings: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
+def threshold(most: np.ndarray, last: np.ndarray, t1: int) -> int:
+    """The highest value down to which lists must be read (their highest and last values are given) so that a
+    document that is in none of them so far scores less than ``t1``; 0 if there is no such bound."""
+    if t1 <= 0:
+        return 0
+    most, last = np.sort(most), np.sort(last)
+    below = np.concatenate([[0], np.cumsum(most)])
+
+    def left(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What lists that were read down to t hold at most: a sum, and how many lists t - 1 each."""
+        done = np.searchsorted(most, t, "left")
+        return below[done], np.searchsorted(last, t, "left") - done
+
+    steps = np.unique(np.concatenate([[1], last + 1, most + 1]))
+    fixed, open_ = left(steps)
+    at = np.searchsorted(fixed + open_ * (steps - 1) >= t1, True) - 1
+    end = steps[at + 1] - 1 if at + 1 < len(steps) else steps[at]
+    reach = (t1 - 1 - int(fixed[at])) // int(open_[at]) + 1 if open_[at] else end
+    return int(min(end, reach))
+
+
+def _thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each item's lists the value down to which they are read, and what a document may have beyond."""
+    for t in grouped(batches, "item"):
+        most, last = np.asarray(t["most"]), np.asarray(t["last"])
+        least = threshold(most, last, int(ALPHA * t["t1"][0].as_py()))
+        cap = np.where(last >= least, 0, np.minimum(most, least - 1))
+        yield pa.RecordBatch.from_arrays([t["item"].combine_chunks(), t["tid"].combine_chunks(), t["t1"].combine_chunks(), pa.array(np.full(len(most), least)), pa.array(cap)], ["item", "tid", "t1", "least", "cap"])
+
+
+def _block(postings: DataFrame, lists: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
     """(item, row, score) of all that can be results of the items of ``pairs`` (item, tid)."""
     # 1: lower bounds from the lists' heads
-    top = heads.groupBy("tid").agg(F.max("value").alias("most"))
     first = cut(pairs.join(heads, "tid").select("item", "row").distinct())
-    lower = cut(_kth(_looked_up(postings, first, pairs), "score", "t1"))
-    listed = pairs.join(top, "tid").join(lower, "item", "left").withColumn("t1", F.coalesce("t1", F.lit(0).cast("long")))
-    lists = F.count("*").over(Window.partitionBy("item"))
-    # whole values of T or more are those of its ceiling or more
-    listed = cut(listed.withColumn("least", F.call_function("div", F.col("t1") + lists - 1, lists)).withColumn("cap", F.least("most", F.greatest(F.col("least") - 1, F.lit(0)))))
+    lower = _kth(_looked_up(postings, first, pairs), "score", "t1")
+    asked = pairs.join(lists, "tid").join(lower, "item", "left").withColumn("t1", F.coalesce("t1", F.lit(0).cast("long"))).select("item", "tid", "most", "last", "t1")
+    asked = asked.repartition(parts(asked), "item").sortWithinPartitions("item")
+    asked = cut(asked.mapInArrow(_thresholds, "item bigint, tid bigint, t1 bigint, least bigint, cap bigint"))
     # 2: every list down to the same value; an entry goes to its document once
-    floor = listed.groupBy("tid").agg(F.min("least").alias("floor"))
+    floor = asked.groupBy("tid").agg(F.min("least").alias("floor"))
     read = postings.join(F.broadcast(floor), "tid").where(F.col("value") >= F.col("floor")).select("tid", "row", "value")
-    read = read.repartition(parts(read), "row").join(F.broadcast(listed.select("item", "tid", "least", "cap")), "tid").where(F.col("value") >= F.col("least"))
-    bounds = listed.groupBy("item").agg(F.sum("cap").alias("caps"), F.first("t1").alias("t1"))
+    read = read.repartition(parts(read), "row").join(F.broadcast(asked.select("item", "tid", "least", "cap")), "tid").where(F.col("value") >= F.col("least"))
+    bounds = asked.groupBy("item").agg(F.sum("cap").alias("caps"), F.first("t1").alias("t1"))
     partial = read.groupBy("item", "row").agg(F.sum("value").alias("part"), F.sum("cap").alias("met")).join(F.broadcast(bounds), "item")
     partial = cut(partial.withColumn("bound", F.col("part") + F.col("caps") - F.col("met")).where(F.col("bound") >= F.col("t1")).select("item", "row", "part", "bound"))
-    second = _kth(partial, "part", "t2")
-    candidates = cut(partial.join(F.broadcast(second), "item", "left").where(F.col("bound") >= F.coalesce("t2", F.lit(0))).select("item", "row"))
+    best = partial.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("part"), "row"))).where(F.col("_r") <= PROBES)
+    second = _kth(_looked_up(postings, cut(best.select("item", "row")), pairs), "score", "t2")
+    candidates = partial.join(F.broadcast(second), "item", "left").where(F.col("bound") >= F.coalesce("t2", F.lit(0)))
     # 3: exact scores of the candidates
-    return _looked_up(postings, candidates, pairs)
+    return _looked_up(postings, cut(candidates.select("item", "row")), pairs)
 
 
 def rank(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -168,6 +203,7 @@ def rank(docs: DataFrame, items: DataFrame) -> DataFrame:
     named, asked = queries(items)
     vocabulary = cut(asked.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()))
     postings, own = index(docs, vocabulary)
+    lists = cut(postings.groupBy("tid").agg(F.max("value").alias("most"), F.min("value").alias("last")))
     by_value = Window.partitionBy("tid").orderBy(F.desc("value"), "row")
     heads = cut(postings.withColumn("_r", F.row_number().over(by_value)).where(F.col("_r") <= TOP).drop("_r"))
     pairs = cut(asked.join(vocabulary, "term").select("item", "tid"))
@@ -175,7 +211,7 @@ def rank(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = None
     for b in range(blocks_of):
         mine = pairs if blocks_of == 1 else cut(pairs.where(F.pmod(F.xxhash64("item"), F.lit(blocks_of)) == b))
-        scores = cut(_block(postings, mine, heads))
+        scores = cut(_block(postings, lists, mine, heads))
         found = scores if found is None else found.unionByName(scores)
     if found is None:
         return docs.sparkSession.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")

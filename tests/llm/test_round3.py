@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from spoolmill.llm import codes, queries, ranked, simhash
@@ -212,9 +211,12 @@ def test_terms_of_whole_texts():
     assert ranked.terms(text) == {b"ab": 1, "céééééééééé".encode(): 1, b"x": 5000} and not ranked.terms(None)
 
 
-def test_few_rows_leave_the_scan_of_postings(spark):
-    """An item's lists are read down to one value only: most of a long list stays unread."""
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common "), F.when(F.col("id") % 100 == 0, "rare rare rarer").otherwise(F.repeat(F.lit("filler "), 20))).alias("text"))
-    items = spark.createDataFrame([(1, "common rare rarer")], "item_id long, text string")
-    got = [r.doc_id for r in ranked.rank(docs, items).orderBy("rank").collect()]
-    assert got == [i * 100 for i in range(10)]
+def test_thresholds_are_the_highest_safe_ones():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        m = int(rng.integers(1, 7))
+        most = rng.integers(1, 30, m)
+        last = np.array([int(rng.integers(1, x + 1)) for x in most])
+        t1 = int(rng.integers(0, most.sum() + 1))
+        unmet = lambda t: sum(0 if b >= t else min(a, t - 1) for a, b in zip(most.tolist(), last.tolist(), strict=True))
+        assert ranked.threshold(most, last, t1) == max((t for t in range(1, 40) if unmet(t) < t1), default=0)
