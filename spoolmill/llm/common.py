@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 from uuid import uuid4
 
@@ -41,7 +42,44 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{folder(df.sparkSession)}/spoolmill-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+#: Tables that were cut, by the scopes that are open.
+_scopes: list[list[DataFrame]] = []
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the table of a ``df`` that was :func:`cut`; nothing may read it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut inside are removed at the end, but for those given to what this yields, which
+    become the enclosing scope's. Whatever is still read afterwards must be among them."""
+    mine: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(kept)
+        for df in mine:
+            if not any(df is k for k in kept):
+                drop(df)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, is_hot, join_spread, parts
+from .common import cut, is_hot, join_spread, parts, scratch
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
 TOKENS, DEPTH, SMALL, BRANCH, FULL = 64, 12, 256, 1.5, 2
@@ -250,10 +250,13 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """Edges (a, b) that join the sets of each candidate group; ``sets`` has (sid, n, sk)."""
     rng, labelled = np.random.default_rng(seed), sets.select("sid", "sk", F.col("sid").alias("label"))
-    first = cut(_runs(sets, labelled, range(1), rng, threshold, seed))
-    group = components(first).select(F.col("node").alias("sid"), "root")
-    labelled = cut(sets.select("sid", "sk").join(group, "sid", "left").select("sid", "sk", F.coalesce("root", "sid").alias("label")))
-    return first.unionByName(_runs(sets, labelled, range(1, runs_for(recall)), rng, threshold, seed))
+    with scratch() as keep:
+        first = keep(cut(_runs(sets, labelled, range(1), rng, threshold, seed)))
+    with scratch() as keep:
+        group = components(first).select(F.col("node").alias("sid"), "root")
+        labelled = keep(cut(sets.select("sid", "sk").join(group, "sid", "left").select("sid", "sk", F.coalesce("root", "sid").alias("label"))))
+    with scratch() as keep:
+        return first.unionByName(keep(cut(_runs(sets, labelled, range(1, runs_for(recall)), rng, threshold, seed))))
 
 
 def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Generator, threshold: float, seed: int) -> DataFrame:
@@ -463,32 +466,45 @@ def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall
     ``class_key`` names the component also where ids are null or repeated; null for texts without words.
     """
     docs = cut(sketches(df, words))
+    with scratch() as keep:
+        table = keep(cut(_classes(df, docs, threshold, words, recall)))
+    out = join_spread(docs.where("sid IS NOT NULL").select("doc_id", "text_key", "sid"), table, "sid", "w")
+    out = out.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "text_key", "class_key")
+    none = docs.where("sid IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_key", F.lit(None).cast("binary").alias("class_key"))
+    return out.unionByName(none)
+
+
+def _classes(df: DataFrame, docs: DataFrame, threshold: float, words: int, recall: float) -> DataFrame:
+    """(sid, w, class_key, class_id, n_links) of each set of the rows ``df``, whose sketches are ``docs``."""
     sets = docs.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     sets = cut(sets)
-    group = cut(components(candidates(sets, threshold, recall)))
+    with scratch() as keep:
+        group = keep(cut(components(candidates(sets, threshold, recall))))
     size = cut(group.groupBy("root").agg(F.count("*").alias("size")))
     member = join_spread(group, size, "root", "size").withColumnRenamed("node", "sid").join(sets.select("sid", "row", "w", "n"), "sid")
     # a set fetches the text of one row; the id alone may be null or repeated
     text = df.select(F.col("doc_id").cast("long").alias("_doc"), text_key(F.col("text")).alias("_key"), "text")
     texts = text.join(member, (F.col("_key") == F.col("row.text_key")) & F.col("_doc").eqNullSafe(F.col("row.doc_id")))
-    texts = cut(texts.select("root", "size", "sid", "w", "n", "text"))
-    found = cut(_links(texts, threshold, words))
+    texts = texts.select("root", "size", "sid", "w", "n", "text")
+    # rows that are repeated with their id would each give their set again; where there are any, tasks keep one of each
+    again = docs.where("sid IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count("*").alias("c")).where("c > 1")
+    if not again.isEmpty():
+        texts = texts.groupBy("root", "size", "sid", "w", "n").agg(F.first("text").alias("text"))
+    with scratch() as keep:
+        found = keep(cut(_links(cut(texts), threshold, words)))
     links = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     own = cut(components(found.select("a", "b")))
     least = own.join(sets.select(F.col("sid").alias("node"), "doc"), "node").groupBy("root").agg(F.min("doc").alias("class_doc"), F.count("*").alias("_n"))
     known = join_spread(own, cut(least), "root", "_n").select(F.col("node").alias("sid"), "root", "class_doc").join(links, "sid", "left")
     table = sets.select("sid", "doc", "w").join(known, "sid", "left")
-    table = table.select("sid", "w", F.coalesce("root", "sid").alias("class_key"), F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("class_doc")).alias("class_id"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = join_spread(docs.where("sid IS NOT NULL").select("doc_id", "text_key", "sid"), cut(table), "sid", "w")
-    out = out.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "text_key", "class_key")
-    none = docs.where("sid IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_key", F.lit(None).cast("binary").alias("class_key"))
-    return out.unionByName(none)
+    return table.select("sid", "w", F.coalesce("root", "sid").alias("class_key"), F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("class_doc")).alias("class_id"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
 def keep_one(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """One row of each class: that of the least doc_id (null ids last; of repeated rows any one).
     Texts without words all stay. The columns are those of ``df``."""
-    joined = cut(join(df, threshold, words, recall))
+    with scratch() as keep:
+        joined = keep(cut(join(df, threshold, words, recall)))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
     won = joined.where("class_key IS NOT NULL").groupBy("class_key").agg(best).select(F.col("best.doc_id").alias("won_doc"), F.col("best.text_key").alias("won_key"))
     blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
