@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose outputs are gathered at a time, so that long arrays aren't copied once per element.
@@ -39,3 +39,9 @@ def walk(xs: Column, start: Column, step: Callable[[Column, Column], Column], st
 def going(state: Column, *said: Column) -> Column:
     """What a step of :func:`walk` gives: the next state, and what it emits."""
     return F.struct(state.alias("s"), F.array(*said).alias("out"))
+
+
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns ``names`` evaluated once per row, last in order: they pass through a generator of one
+    row, below which the optimizer doesn't copy their expressions into what stands above."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))

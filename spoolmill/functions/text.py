@@ -34,7 +34,11 @@ def strip_escapes(t: Column) -> Column:
 
 def strip_noise(t: Column) -> Column:
     """For prose and tables: escapes and invisible characters go, no-break space becomes a space."""
-    return F.translate(F.regexp_replace(strip_escapes(t), INVISIBLE, ""), "\u00a0", " ")
+    return strip_invisible(strip_escapes(t))
+
+
+def strip_invisible(t: Column) -> Column:
+    return F.replace(F.regexp_replace(t, INVISIBLE, ""), F.lit("\u00a0"), F.lit(" "))
 
 
 def clean_prose_line(line: Column) -> Column:
@@ -111,14 +115,19 @@ def fenced(lines: Column) -> Column:
     """Booleans: which lines lie in a fenced block, marks included; an open fence runs to the end.
     A closing mark is at least as long as the opening one and stands alone."""
 
-    def step(s: Column, line: Column) -> Column:
+    has = lambda line: line.contains("```") | line.contains("~~~")
+
+    def mark(line: Column) -> Column:
         run = F.length(F.regexp_extract(line, "^[ \\t]*(`{3,}|~{3,})", 1))
-        opens = (run > 0) & ~line.rlike("^[ \\t]*`{3,}+[^`]*`")
-        closes = (run >= s["n"]) & line.rlike("^[ \\t]*(`{3,}|~{3,})[ \\t]*$")
-        inside = s["n"] > 0
-        return going(F.struct(F.when(inside & closes, 0).when(inside, s["n"]).when(opens, run).otherwise(0).alias("n")), inside | opens)
+        return F.when(has(line), F.struct(run.alias("run"), (~line.rlike("^[ \\t]*`{3,}+[^`]*`")).alias("opens"), line.rlike("^[ \\t]*(`{3,}|~{3,})[ \\t]*$").alias("closes")))
+
+    def step(s: Column, m: Column) -> Column:
+        inside, opens = s["n"] > 0, m.isNotNull() & (m["run"] > 0) & m["opens"]
+        n = F.when(m.isNull(), s["n"]).when(inside & m["closes"] & (m["run"] >= s["n"]), 0).when(inside, s["n"]).when(opens, m["run"]).otherwise(0)
+        return going(F.struct(n.alias("n")), inside | F.coalesce(opens, F.lit(False)))
 
-    return walk(lines, F.struct(F.lit(0)), step, "struct<n:int>", "boolean")["out"]
+    walked = walk(F.transform(lines, mark), F.struct(F.lit(0)), step, "struct<n:int>", "boolean")["out"]
+    return F.when(F.exists(lines, has), walked).otherwise(F.transform(lines, lambda _: F.lit(False)))
 
 
 def to_plain_text(t: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import segments
 from ..functions import text as T
+from ..functions.arrays import settle
 
 _ISO = "^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:?\\d\\d)$"
 SESSION = "file string, parse_status string, tool string, session_id string, project string, started_at long, last_active_at long, messages array<struct<turn:int,speaker:string,role:string,text:string>>"
@@ -93,7 +94,9 @@ ADAPTERS = {a.tool: a for a in (Adapter("claude-code", "*.jsonl", 2, "", flat_ev
 def messages(events: DataFrame, clean: Callable[[Column], Column] | None = segments.clean) -> DataFrame:
     """(file, line_no, role, ts, text): messages that are not blank once cleaned."""
     text = F.col("raw") if clean is None else clean(F.col("raw"))
-    out = events.where("role IS NOT NULL").select("file", "line_no", "role", "ts", text.alias("text"))
+    # contents are read once from a line, and texts are cleaned once
+    said = settle(events.where("role IS NOT NULL").select("file", "line_no", "role", "ts", "raw"), "raw")
+    out = settle(said.select("file", "line_no", "role", "ts", text.alias("text")), "text")
     return out.where(F.col("text").rlike("[^\\p{Z}\\s]"))
 
 
