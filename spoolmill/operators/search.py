@@ -14,23 +14,31 @@ def _grams(c: str) -> Column:
     return F.greatest(F.coalesce(F.length(c), F.lit(0)) - 2, F.lit(0))
 
 
+def size() -> Column:
+    """How many trigrams a row has."""
+    return sum((_grams(c) for c in COLUMNS), F.lit(0))
+
+
+def score(n: Column, hits: Column, found: Column, own: Column, mean: Column) -> Column:
+    """BM25 of one phrase with the sign turned, so that the best is the least: ``found`` times in a row of size ``own``."""
+    idf = F.log((n - hits + 0.5) / (hits + 0.5))
+    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
+    return -idf * found * 2.2 / (found + 1.2 * (0.25 + 0.75 * own / mean))
+
+
 def bm25(rows: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Queries of three characters or more: case-insensitive substring of any column, ranked by BM25
     over trigrams (best, the least score, first; ties by path). Statistics cover all rows; they are
     one row."""
     q = query.strip().lower()
-    size = sum((_grams(c) for c in COLUMNS), F.lit(0))
     # a zero-width lookahead counts overlapping matches
     count = sum((F.coalesce(F.regexp_count(F.lower(c), F.lit(f"(?={re.escape(q)})")), F.lit(0)) for c in COLUMNS), F.lit(0))
     hit = F.lit(False)
     for c in COLUMNS:
         hit = hit | F.coalesce(F.lower(c).contains(q), F.lit(False))
-    stats = rows.agg(F.count("*").alias("_all"), F.avg(size).alias("_avg"), F.count_if(hit).alias("_hits"))
-    found = rows.where(hit).withColumns({"_f": count, "_d": size}).join(F.broadcast(stats))
-    idf = F.log((F.col("_all") - F.col("_hits") + 0.5) / (F.col("_hits") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    score = -idf * F.col("_f") * 2.2 / (F.col("_f") + 1.2 * (0.25 + 0.75 * F.col("_d") / F.col("_avg")))
-    return found.withColumn("score", score).orderBy("score", "path").limit(limit).drop("_f", "_d", "_all", "_avg", "_hits")
+    stats = rows.agg(F.count("*").alias("_all"), F.avg(size()).alias("_avg"), F.count_if(hit).alias("_hits"))
+    found = rows.where(hit).withColumns({"_f": count, "_d": size()}).join(F.broadcast(stats))
+    return found.withColumn("score", score(F.col("_all"), F.col("_hits"), F.col("_f"), F.col("_d"), F.col("_avg"))).orderBy("score", "path").limit(limit).drop("_f", "_d", "_all", "_avg", "_hits")
 
 
 def like(rows: DataFrame, query: str, limit: int = 50) -> DataFrame:

@@ -9,13 +9,17 @@ DAY = 86400
 
 
 def upsert(archive: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
-    """Rows of ``new`` replace those of their key; a replaced row's star is kept. Of new rows with one key
-    the latest counts, by ``last_active_at``."""
-    one = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), "last_active_at").alias("_row"))
-    new = one.select("_row.*")
-    old = archive.select(key, F.col("starred").alias("_old"))
-    kept = new.join(old, key, "left").withColumn("starred", F.col("starred") | F.coalesce("_old", F.lit(False))).drop("_old")
-    return archive.join(new.select(key), key, "left_anti").unionByName(kept)
+    """Rows of ``new`` replace those of their key and state, so that a live row leaves a trashed one of its path alone; a
+    replaced row's star is kept. Of new rows with one key and state the latest counts, by ``last_active_at`` (null: earliest), then by all columns."""
+    state = F.coalesce("state", F.lit("")) if "state" in archive.columns else F.lit("")
+    order = F.struct(F.col("last_active_at").isNotNull().alias("known"), "last_active_at", *[F.col(c) for c in new.columns if c != "last_active_at"])
+    one = new.withColumn("_state", state).groupBy(key, "_state").agg(F.max_by(F.struct(*new.columns), order).alias("_row"))
+    new = one.select("_state", "_row.*")
+    there = archive.withColumn("_state", state)
+    old = there.groupBy(key, "_state").agg(F.bool_or("starred").alias("_old"))
+    kept = new.join(old, [key, "_state"], "left").withColumn("starred", F.col("starred") | F.coalesce("_old", F.lit(False)))
+    fresh = there.join(new.select(key, "_state"), [key, "_state"], "left_anti")
+    return fresh.select(*archive.columns).unionByName(kept.drop("_old", "_state"))
 
 
 def remove(archive: DataFrame, paths: DataFrame) -> DataFrame:

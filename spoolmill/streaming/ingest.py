@@ -94,7 +94,7 @@ def sync(spark: SparkSession, root: str, home: str, tool: str = "claude-code", n
     def write(df: DataFrame, table: str) -> None:
         df.write.mode("overwrite").parquet(f"{home}/{table}/{new}")
 
-    write(store.plan_sync(listing(spark, root, A.ADAPTERS[tool].pattern), state, time.time() if now is None else now), "plan")  # files are listed once
+    write(store.plan_sync(listing(spark, root, A.ADAPTERS[tool].pattern, A.ADAPTERS[tool].depth), state, time.time() if now is None else now), "plan")  # files are listed once
     plan = spark.read.parquet(f"{home}/plan/{new}")
     paths = [r.path for r in plan.where("status IN ('new', 'changed')").select("path").collect()]
     if not paths and plan.where("status = 'oversize'").isEmpty() and state.join(plan, "path", "left_anti").isEmpty():

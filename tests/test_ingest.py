@@ -18,8 +18,11 @@ def said(spark, home):
 
 
 def test_passes_parse_what_changed_and_retry_after_failure(spark, tmp_path, monkeypatch):
-    root, home = tmp_path / "in", str(tmp_path / "home")
-    root.mkdir()
+    top, home = tmp_path / "in", str(tmp_path / "home")
+    root = top / "p"
+    (root / "q").mkdir(parents=True)
+    put(top / "top.jsonl", "no", session="top")
+    put(root / "q" / "deep.jsonl", "no", session="deep")
     put(root / "a[1] b.jsonl", "one", session="a")
     put(root / "b.jsonl", "two", session="b")
     put(root / "new.jsonl", "early", session="new", mtime=5000)
@@ -28,30 +31,30 @@ def test_passes_parse_what_changed_and_retry_after_failure(spark, tmp_path, monk
     for name in ("empty", "bytes"):
         os.utime(root / f"{name}.jsonl", (1000, 1000))
     assert said(spark, home) == {}
-    assert ingest.sync(spark, str(root), home, now=5000.1) == 1
+    assert ingest.sync(spark, str(top), home, now=5000.1) == 1
     assert said(spark, home) == {"a": ["one"], "b": ["two"]}
-    assert ingest.sync(spark, str(root), home, now=5000.1) == 1
+    assert ingest.sync(spark, str(top), home, now=5000.1) == 1
     # a pass that fails between the archive and the manifest leaves no trace and is done again
     put(root / "a[1] b.jsonl", "more", session="a", mtime=2000, mode="a")
     with monkeypatch.context() as m:
         m.setattr(ingest.store, "prune", lambda *_: 1 / 0)
         with pytest.raises(ZeroDivisionError):
-            ingest.sync(spark, str(root), home, now=6000)
+            ingest.sync(spark, str(top), home, now=6000)
     assert said(spark, home) == {"a": ["one"], "b": ["two"]} and ingest.committed(spark, home) == (1, 1)
-    assert ingest.sync(spark, str(root), home, now=6000) == 2
+    assert ingest.sync(spark, str(top), home, now=6000) == 2
     assert said(spark, home) == {"a": ["one", "more"], "b": ["two"], "new": ["early"]}
     # the archive outlives its sources, the manifest does not
     (root / "b.jsonl").unlink()
-    assert ingest.sync(spark, str(root), home, now=6000) == 3 and ingest.committed(spark, home) == (3, 2)
+    assert ingest.sync(spark, str(top), home, now=6000) == 3 and ingest.committed(spark, home) == (3, 2)
     assert {p.rpartition("/")[2] for (p,) in ingest.read(spark, home, "manifest", 3).select("path").collect()} == {"a[1] b.jsonl", "new.jsonl", "empty.jsonl", "bytes.jsonl"}
     assert len(said(spark, home)) == 3
 
 
 def test_a_tick_runs_a_pass(spark, tmp_path):
-    root, home = tmp_path / "in", str(tmp_path / "home")
-    root.mkdir()
+    root, home = tmp_path / "in" / "p", str(tmp_path / "home")
+    root.mkdir(parents=True)
     put(root / "a.jsonl", "one", session="a")
-    ingest.ingest(spark, str(root), home, str(tmp_path / "checkpoint"), once=True).awaitTermination(60)
+    ingest.ingest(spark, str(root.parent), home, str(tmp_path / "checkpoint"), once=True).awaitTermination(60)
     assert said(spark, home) == {"a": ["one"]}
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,17 @@ def test_options(spark):
     assert one(spark, "  汉字\n\n \n　　再来\n  plain\n  - 项", tidy) == "汉字\n\n再来\n  plain\n  - 项"
     assert one(spark, "## **a** [b](c)\n```\n# x\n```", lambda t: S.clean(t, strip_markdown=True)) == "a b (c)\n# x"
     assert one(spark, "wrapped words that go on and on and\nend", lambda t: S.clean(t, reflow_wraps=False)) == "wrapped words that go on and on and\nend"
+
+
+def test_time_is_linear_in_the_lines_of_a_paragraph(spark):
+    line = "this is a line of words that had been wrapped by it"
+
+    def seconds(n):
+        df = spark.createDataFrame([("\n".join([line] * n),)], "t string").select(F.length(S.clean(F.col("t"))).alias("n"))
+        start = time.perf_counter()
+        assert df.first()["n"] == n * (len(line) + 1) - 1
+        return time.perf_counter() - start
+
+    seconds(10)
+    few, many = seconds(5000), seconds(40000)
+    assert many < 16 * few + 5 and many < 60

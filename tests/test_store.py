@@ -29,6 +29,13 @@ def test_upsert_keeps_the_star(spark):
     assert len(got) == 4 and got["star"].starred and got["star"].last_active_at == 5
 
 
+def test_upsert_leaves_the_trash_and_rows_without_a_time(spark):
+    _, a = archive(spark)
+    new = spark.createDataFrame([("gone", 5, False, "live", None), ("n", None, False, "live", None), ("n", None, True, "live", None), ("m", None, False, "live", None), ("m", 3, False, "live", None)], ROW)
+    got = sorted((r.path, r.state, r.last_active_at, r.starred) for r in store.upsert(a, new).collect() if r.path in ("gone", "n", "m"))
+    assert got == [("gone", "live", 5, False), ("gone", "trash", 0, False), ("m", "live", 3, False), ("n", "live", None, True)]
+
+
 def test_search_short_long_and_literal(spark):
     rows = spark.createDataFrame([("p1", "t", "nginx 服务没有启动 50%_off", None, 1), ("p2", "postgres", "50 off", "proj", 2)], "path string, title string, body string, project string, last_active_at long")
     find = lambda q: [r.path for r in search.search(rows, q).collect()]
