@@ -104,13 +104,13 @@ def cleanup(archive: DataFrame, now: int, days: int | None, grace: int = 7, prot
     return trash(kept, expired, now).drop("_safe")
 
 
-def plan_sync(listing: DataFrame, state: DataFrame, now: float, *, settle: float = 0.5, limit: int = 50 * 1024 * 1024) -> DataFrame:
-    """(path, length, mtime, status): settling, unchanged, oversize, new or changed."""
-    old = state.select("path", F.col("length").alias("_length"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_known"))
-    j = listing.join(old, "path", "left")
+def plan_sync(listing: DataFrame, state: DataFrame, now: float, *, settle: float = 0.5, limit: int = 50 * 1024 * 1024, key: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(key, length, mtime, status): settling, unchanged, oversize, new or changed."""
+    old = state.select(*key, F.col("length").alias("_length"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_known"))
+    j = listing.join(old, list(key), "left")
     same = F.col("_length").eqNullSafe(F.col("length")) & F.col("_mtime").eqNullSafe(F.col("mtime"))
     status = F.when(F.lit(now) - F.col("mtime") < settle, "settling").when(same, "unchanged").when(F.col("length") > limit, "oversize").when(F.col("_known"), "changed").otherwise("new")
-    return j.select("path", "length", "mtime", status.alias("status"))
+    return j.select(*key, "length", "mtime", status.alias("status"))
 
 
 def prune(state: DataFrame, listing: DataFrame) -> DataFrame:

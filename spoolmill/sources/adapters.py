@@ -107,7 +107,7 @@ def stem(file: Column, prefix: str = "") -> Column:
 
 def sessions(lines: DataFrame, adapter: Adapter, clean: Callable[[Column], Column] | None = segments.clean) -> DataFrame:
     """One row (:data:`SESSION`) for each file that has a line. ``parse_status`` is ``ok``, ``empty`` (blank
-    lines only) or ``no_messages``; where it isn't ``ok`` the rest is null. Bounds cover all lines with a time,
+    lines only), ``no_messages`` or ``undecodable`` (null lines only); where it isn't ``ok`` the rest is null. Bounds cover all lines with a time,
     messages or not; without any they are 0. The first id counts, and the first folder with a name."""
     events = adapter.events(lines)
     said = messages(events, clean)
@@ -119,7 +119,7 @@ def sessions(lines: DataFrame, adapter: Adapter, clean: Callable[[Column], Colum
     files = lines.groupBy("file").agg(F.bool_or(F.trim("line") != "").alias("inked"))
     out = files.join(each, "file", "left").join(about, "file", "left")
     ok = F.col("messages").isNotNull()
-    status = F.when(ok, "ok").when(F.col("inked"), "no_messages").otherwise("empty")
+    status = F.when(ok, "ok").when(F.col("inked"), "no_messages").when(F.col("inked").isNull(), "undecodable").otherwise("empty")
     return out.select("file", status.alias("parse_status"), F.when(ok, adapter.tool).alias("tool"), F.when(ok, F.coalesce("id", stem(F.col("file"), adapter.prefix))).alias("session_id"), F.when(ok, F.col("project")).alias("project"), F.when(ok, F.coalesce("from", F.lit(0))).alias("started_at"), F.when(ok, F.coalesce("to", F.lit(0))).alias("last_active_at"), "messages")
 
 
