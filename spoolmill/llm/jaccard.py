@@ -510,7 +510,9 @@ def keep_one(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, re
     blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
     keyed = df.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"), blank.alias("blank"))
     same = F.col("id").eqNullSafe(F.col("won_doc")) & (F.col("key") == F.col("won_key"))
-    # repeated rows are numbered among themselves; others are alone in their group
-    first = Window.partitionBy("id", "key").orderBy("key")
-    kept = keyed.where("NOT blank").join(won, same, "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1")
+    kept = keyed.where("NOT blank").join(won, same, "left_semi")
+    if not joined.groupBy("doc_id", "text_key").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        # repeated rows are numbered among themselves
+        first = Window.partitionBy("id", "key").orderBy("key")
+        kept = kept.withColumn("n", F.row_number().over(first)).where("n = 1")
     return kept.select("row.*").unionByName(keyed.where("blank").select("row.*"))
