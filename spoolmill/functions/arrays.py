@@ -19,19 +19,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def walk(xs: Column, start: Column, step: Callable[[Column, Column], Column], state: str, out: str) -> Column:
     """Go through ``xs`` with a state of SQL type ``state``. ``step`` gives a struct of the next state ``s``
     and an array of ``out`` to emit, ``out``. The result is a struct of the last state and all that was emitted."""
-    none = F.array().cast(f"array<{out}>")
+    none, kind = F.array().cast(f"array<{out}>"), f"struct<s:{state},out:array<{out}>>"
+
+    # what a step gives is appended by the next one, so that no let-binding is needed for it
+    def said(a: Column) -> Column:
+        return F.concat(a["out"], a["r"]["out"])
+
+    def at(s: Column) -> Column:
+        return F.struct(F.struct(s.alias("s"), none.alias("out")).cast(kind).alias("r"), none.alias("out"))
 
     def one(a: Column, x: Column) -> Column:
-        return let(step(a["s"], x), lambda r: F.struct(r["s"].cast(state).alias("s"), F.concat(a["out"], r["out"]).alias("out")))
+        return F.struct(step(a["r"]["s"], x).cast(kind).alias("r"), said(a).alias("out"))
+
+    def gathered(a: Column) -> Column:
+        return F.concat(a["blocks"], F.array(said(a["g"])))
 
     def block(a: Column, b: Column) -> Column:
-        inner = F.aggregate(b, F.struct(a["s"].alias("s"), none.alias("out")), one)
-        return let(inner, lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+        return F.struct(F.aggregate(b, at(a["g"]["r"]["s"]), one).alias("g"), gathered(a).alias("blocks"))
 
     def whole(items: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int")), lambda i: F.slice(items, i * _BLOCK + 1, F.lit(_BLOCK)))
-        zero = F.struct(start.cast(state).alias("s"), F.array().cast(f"array<array<{out}>>").alias("out"))
-        return F.aggregate(blocks, zero, block, lambda a: F.struct(a["s"].alias("s"), F.flatten(a["out"]).alias("out")))
+        zero = F.struct(at(start.cast(state)).alias("g"), F.array().cast(f"array<array<{out}>>").alias("blocks"))
+        return F.aggregate(blocks, zero, block, lambda a: F.struct(a["g"]["r"]["s"].alias("s"), F.flatten(gathered(a)).alias("out")))
 
     return let(xs, whole)
 

@@ -277,11 +277,11 @@ def reflow(items: Column, wide: Column | None = None) -> Column:
 
 def clean(t: Column, *, reflow_wraps: bool = True, strip_markdown: bool = False, tidy_prose: bool = False) -> Column:
     """The whole cleaning of a text; the text itself stays where it is, so nothing is lost."""
-
-    def views(raw: Column) -> Column:
-        # escapes and invisible characters hold no line ends, so they go from the whole text at once
-        lines = lambda code: F.struct(F.split(raw, "\n").alias("raw"), F.split(code, "\n").alias("code"), F.split(T.strip_invisible(code), "\n").alias("bare"), raw.rlike(T.BOX).alias("box"), raw.rlike(f"[{WIDE}]").alias("wide"))
-        return let(F.when(raw.contains("\x1b"), T.strip_escapes(raw)).otherwise(raw), lines)
+    # escapes and invisible characters hold no line ends, so they go from the whole text at once; most texts have none, and
+    # that is cheap to see. Repeating these steps costs less than another level of let-bindings for the analyzer.
+    raw = F.when(t.contains("\r"), T.normalize_newlines(t)).otherwise(t)
+    code = F.when(raw.contains("\x1b"), T.strip_escapes(raw)).otherwise(raw)
+    views = F.struct(F.split(raw, "\n").alias("raw"), F.split(code, "\n").alias("code"), F.split(T.strip_invisible(code), "\n").alias("bare"), raw.rlike(T.BOX).alias("box"), raw.rlike(f"[{WIDE}]").alias("wide"))
 
     def parts(v: Column) -> Column:
         def line(k: Column, i: Column) -> Column:
@@ -295,5 +295,5 @@ def clean(t: Column, *, reflow_wraps: bool = True, strip_markdown: bool = False,
         items = _tidy(items) if tidy_prose else items
         return let(items, lambda ys: reflow(ys, v["wide"]) if reflow_wraps else F.array_join(F.transform(ys, lambda y: y["text"]), "\n"))
 
-    out = F.when(t.isNotNull(), let(let(T.normalize_newlines(t), views), parts))
+    out = F.when(t.isNotNull(), let(views, parts))
     return T.to_plain_text(out) if strip_markdown else out
