@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86400
@@ -30,14 +30,46 @@ def set_starred(archive: DataFrame, which: Column, starred: bool) -> DataFrame:
     return archive.withColumn("starred", F.when(which, F.lit(starred)).otherwise(F.col("starred")))
 
 
-def trash(archive: DataFrame, which: Column, now: int) -> DataFrame:
-    hit = which & (F.col("state") == "live")
-    return archive.withColumns({"trashed_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("trashed_at")), "state": F.when(hit, "trash").otherwise(F.col("state"))})
+def _shift(archive: DataFrame, hit: Column, state: str, now: int, seed: int) -> DataFrame:
+    """``archive`` with the rows ``hit`` brought to ``state``. Of the rows that would share a path there, the one that is there
+    already keeps it, else the one active last; each other row gets a suffix of its own, from path, seed and place.
+
+    Only rows that move are sorted, and only paths of those that are there already meet them."""
+    hit = F.coalesce(hit & (F.col("state") != state), F.lit(False))
+    going = archive.where(hit)
+    taken = archive.where(F.col("state") == state).join(going.select("path"), "path", "left_semi").select("path").distinct().withColumn("_taken", F.lit(1))
+    order = Window.partitionBy("path").orderBy(F.desc_nulls_last("last_active_at"), F.xxhash64(*archive.columns))
+    placed = going.join(taken, "path", "left").withColumn("_place", F.row_number().over(order) + F.coalesce("_taken", F.lit(0)))
+    suffix = F.lower(F.lpad(F.hex(F.xxhash64("path", F.lit(seed), F.lit(now), "_place")), 16, "0"))
+    at = F.lit(now).cast("long") if state == "trash" else F.lit(None).cast("long")
+    moved = placed.withColumns({"path": F.when(F.col("_place") == 1, F.col("path")).otherwise(_with_suffix(suffix)), "trashed_at": at, "state": F.lit(state)})
+    return archive.where(~hit).unionByName(moved.select(*archive.columns))
+
+
+def _with_suffix(suffix: Column) -> Column:
+    """The path with ``suffix`` before its extension."""
+    return F.concat(F.regexp_replace("path", "\\.[^./]*$", ""), F.lit("-"), suffix, F.regexp_extract("path", "(\\.[^./]*)?$", 0))
+
+
+def trash(archive: DataFrame, which: Column, now: int, seed: int = 0) -> DataFrame:
+    """The live rows ``which`` in the trash since ``now``; a path that is taken there gets a suffix."""
+    return _shift(archive, which & (F.col("state") == "live"), "trash", now, seed)
+
+
+def untrash(archive: DataFrame, which: Column, now: int = 0, seed: int = 0) -> DataFrame:
+    """The trashed rows ``which`` back among the live ones; a path that is taken there gets a suffix."""
+    return _shift(archive, which & (F.col("state") == "trash"), "live", now, seed)
 
 
-def untrash(archive: DataFrame, which: Column) -> DataFrame:
-    hit = which & (F.col("state") == "trash")
-    return archive.withColumns({"trashed_at": F.when(hit, F.lit(None).cast("long")).otherwise(F.col("trashed_at")), "state": F.when(hit, "live").otherwise(F.col("state"))})
+def move(archive: DataFrame, paths: DataFrame, state: str, now: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Trash or restore many ``paths`` (path) at once: the archive afterwards, and (path, error) of those that no row could be
+    moved for: ``missing``, or ``there`` if the path is only in ``state`` already. A path that is asked for twice is moved once; null paths are missing."""
+    asked = paths.select("path").distinct()
+    marked = archive.join(asked.withColumn("_asked", F.lit(True)), "path", "left")
+    after = _shift(marked, F.coalesce("_asked", F.lit(False)), state, now, seed).drop("_asked").select(*archive.columns)
+    known = archive.join(asked, "path", "left_semi").groupBy("path").agg(F.bool_or(F.col("state") != state).alias("_can"))
+    error = F.when(F.col("_can").isNull(), "missing").otherwise("there")
+    return after, asked.join(known, "path", "left").where(~F.coalesce("_can", F.lit(False))).select("path", error.alias("error"))
 
 
 def purged(now: int, grace: int = 7) -> Column:
@@ -45,11 +77,19 @@ def purged(now: int, grace: int = 7) -> Column:
     return F.coalesce((F.col("state") == "trash") & (F.lit(now) - F.col("trashed_at") > grace * DAY), F.lit(False))
 
 
+def _expired(archive: DataFrame, now: int, days: int | None, protected: DataFrame | None) -> DataFrame:
+    """``archive`` with ``_due``, whether a live row is older than ``days``, not starred and not protected."""
+    safe = archive if protected is None else archive.join(protected.select("path").distinct().withColumn("_safe", F.lit(True)), "path", "left")
+    spared = F.lit(False) if protected is None else F.coalesce("_safe", F.lit(False))
+    due = F.lit(False) if days is None else (F.lit(now) - F.col("last_active_at") > days * DAY) & ~F.col("starred") & ~spared & (F.col("state") == "live")
+    return safe.select(*archive.columns, F.coalesce(due, F.lit(False)).alias("_due"))
+
+
 def cleanup_lists(archive: DataFrame, now: int, days: int | None, grace: int = 7, protected: DataFrame | None = None) -> DataFrame:
-    """(path, action): what :func:`cleanup` would trash and purge."""
-    after = cleanup(archive, now, days, grace, protected).select("path", F.col("state").alias("_then"))
-    moved = archive.where("state = 'live'").select("path").join(after.where("_then = 'trash'"), "path", "left_semi").select("path", F.lit("trashed").alias("action"))
-    return moved.unionByName(archive.where(purged(now, grace)).select("path", F.lit("purged").alias("action")))
+    """(path, action): what :func:`cleanup` would trash and purge, by the paths before it."""
+    marked = _expired(archive, now, days, protected)
+    action = F.when(purged(now, grace), "purged").when(F.col("_due"), "trashed")
+    return marked.select("path", action.alias("action")).where("action IS NOT NULL")
 
 
 def load(archive: DataFrame, path: str) -> DataFrame:
@@ -62,6 +102,15 @@ def live(archive: DataFrame) -> DataFrame:
     return archive.where("state = 'live'").orderBy(F.desc("last_active_at"), "path")
 
 
+def beside(archive: DataFrame, path: str) -> DataFrame:
+    """(previous, next): the live records before and after ``path`` in the order of :func:`live`; at an end the record itself, and no
+    row if it isn't live. One aggregation over the order's keys, nothing is sorted."""
+    keys = archive.where("state = 'live'").select(F.struct(-F.coalesce("last_active_at", F.lit(-(2**62))), "path").alias("k"))
+    here = keys.where(F.col("k.path") == path).select(F.col("k").alias("me")).limit(1)
+    found = keys.join(F.broadcast(here)).groupBy("me").agg(F.max(F.when(F.col("k") < F.col("me"), F.col("k"))).alias("before"), F.min(F.when(F.col("k") > F.col("me"), F.col("k"))).alias("after"))
+    return found.select(F.coalesce("before.path", "me.path").alias("previous"), F.coalesce("after.path", "me.path").alias("next"))
+
+
 def record_key() -> Column:
     """The key by which a record is opened from a hit."""
     return F.concat_ws("|", "tool", F.col("started_at").cast("string"), "session_id")
@@ -85,7 +134,7 @@ def move_to(archive: DataFrame, path: str, state: str, now: int, suffix: str) ->
         raise KeyError(path)
     taken = not archive.where((F.col("path") == path) & (F.col("state") == state)).isEmpty()
     hit = (F.col("path") == path) & (F.col("state") != state)
-    name = F.concat(F.regexp_replace("path", "\\.[^.]*$", ""), F.lit(f"-{suffix}"), F.regexp_extract("path", "(\\.[^.]*)?$", 0)) if taken else F.col("path")
+    name = _with_suffix(F.lit(suffix)) if taken else F.col("path")
     at = F.lit(now).cast("long") if state == "trash" else F.lit(None).cast("long")
     return archive.withColumns({"path": F.when(hit, name).otherwise(F.col("path")), "trashed_at": F.when(hit, at).otherwise(F.col("trashed_at")), "state": F.when(hit, F.lit(state)).otherwise(F.col("state"))})
 
@@ -97,11 +146,8 @@ def sync_counts(plan: DataFrame) -> DataFrame:
 
 def cleanup(archive: DataFrame, now: int, days: int | None, grace: int = 7, protected: DataFrame | None = None) -> DataFrame:
     """Expire, then purge, over one snapshot: a row trashed now is not purged in the same pass."""
-    safe = archive if protected is None else archive.join(protected.select("path").distinct().withColumn("_safe", F.lit(True)), "path", "left")
-    spared = F.lit(False) if protected is None else F.coalesce("_safe", F.lit(False))
-    expired = F.lit(False) if days is None else (F.lit(now) - F.col("last_active_at") > days * DAY) & ~F.col("starred") & ~spared
-    kept = safe.where(~purged(now, grace))
-    return trash(kept, expired, now).drop("_safe")
+    kept = _expired(archive, now, days, protected).where(~purged(now, grace))
+    return (kept if days is None else trash(kept, F.col("_due"), now)).drop("_due")
 
 
 def plan_sync(listing: DataFrame, state: DataFrame, now: float, *, settle: float = 0.5, limit: int = 50 * 1024 * 1024, key: tuple[str, ...] = ("path",)) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import postings, search, store, tables
 from ..sources import adapters as A
 from ..sources import bridge as B
+from ..sources import files
 
 QUERIES, ORACLES = {}, {}
 DAYS = 30
@@ -124,6 +125,43 @@ def markdown_roundtrip(spark, sf_dir):
     return d.select("path", f["tool"].alias("tool"), f["session_id"].alias("session_id"), f["project"].alias("project"), (f["starred"] == "true").alias("starred"), F.size("d.messages").cast("long").alias("turns"), F.array_join(F.transform("d.messages", lambda m: m["text"]), "\n\n").alias("copied"))
 
 
+@query(_R + f"SELECT path, CASE WHEN conv_id % 7 = 0 THEN 'trash' ELSE 'live' END AS state, 'ok' AS status, tool, session_id, project, started_at, last_active_at, starred, title, turns, copied, CASE WHEN conv_id % 7 = 0 THEN {NOW} END AS trashed_at FROM r")
+def archive_files(spark, sf_dir):
+    """All records written as markdown files, trashed ones apart, and read back; a first version of the archive is brought up to date."""
+    root, r = tables.fresh(spark, "archive"), B.records(spark, sf_dir)
+    gone = F.col("conv_id") % 7 == 0
+    r = r.withColumns({"state": F.when(gone, "trash").otherwise("live"), "trashed_at": F.when(gone, F.lit(NOW).cast("long"))})
+    files.save(r.where("conv_id % 3 <> 0").withColumns({"state": F.lit("live"), "starred": F.lit(True)}), root)
+    files.mirror(r, root)
+    return files.scan(spark, root).select("path", "state", "status", "tool", "session_id", "project", "started_at", "last_active_at", "starred", "title", F.size("messages").cast("long").alias("turns"), B.copy_out(F.col("messages")).alias("copied"), "trashed_at")
+
+
+_MOVES = """, a AS (SELECT path, 'live' AS state FROM r WHERE conv_id % 3 <> 0 UNION ALL SELECT path, 'trash' FROM r WHERE conv_id % 3 <> 1), ask AS (SELECT path, conv_id FROM r WHERE conv_id % 2 = 0),
+ j AS (SELECT ask.path, count(*) FILTER (state = 'live') AS l, count(*) FILTER (state = 'trash') AS t FROM ask LEFT JOIN a USING (path) GROUP BY ask.path)
+"""
+
+
+@query(_R + _MOVES + """SELECT a.path, a.state, false AS renamed FROM a WHERE NOT (a.state = 'live' AND a.path IN (SELECT path FROM ask))
+UNION ALL SELECT a.path, 'trash', EXISTS (SELECT 1 FROM a b WHERE b.path = a.path AND b.state = 'trash') FROM a WHERE a.state = 'live' AND a.path IN (SELECT path FROM ask)
+UNION ALL SELECT path, CASE WHEN t > 0 THEN 'there' ELSE 'missing' END, NULL FROM j WHERE l = 0 UNION ALL SELECT 'nowhere.md', 'missing', NULL""")
+def trash_many(spark, sf_dir):
+    """Half of the records sent to the trash at once, some of whose paths are taken or only there; errors are rows too."""
+    r = B.records(spark, sf_dir).withColumn("trashed_at", F.lit(None).cast("long"))
+    a = r.where("conv_id % 3 <> 0").withColumn("state", F.lit("live")).unionByName(r.where("conv_id % 3 <> 1").withColumns({"state": F.lit("trash"), "trashed_at": F.lit(1).cast("long")}))
+    asked = r.where("conv_id % 2 = 0").select("path").unionByName(spark.createDataFrame([("nowhere.md",), ("nowhere.md",)], "path string"))
+    after, errors = store.move(a, asked, "trash", NOW)
+    suffix = "-[0-9a-f]{16}\\.md$"
+    moved = after.select(F.regexp_replace("path", suffix, ".md").alias("path"), "state", F.col("path").rlike(suffix).alias("renamed"))
+    return moved.unionByName(errors.select("path", F.col("error").alias("state"), F.lit(None).cast("boolean").alias("renamed")))
+
+
+@query(_R + ", o AS (SELECT path, lag(path, 1, path) OVER w AS previous, lead(path, 1, path) OVER w AS next FROM r WINDOW w AS (ORDER BY last_active_at DESC, path)) SELECT previous, next FROM o WHERE path IN (SELECT min(path) FROM r WHERE starred)")
+def previous_and_next(spark, sf_dir):
+    """The neighbours of one record among all of them."""
+    r = B.records(spark, sf_dir).withColumn("state", F.lit("live"))
+    return store.beside(r, r.where("starred").agg(F.min("path")).first()[0])
+
+
 @query(f"""WITH a AS (SELECT event_id, epoch(TIMESTAMP '2030-01-01') - event_id * 977 - 1767225600 AS s FROM events)
 SELECT event_id, CASE WHEN s < 0 THEN 'now' WHEN s < 60 THEN floor(s)::BIGINT || 's' WHEN s < 3600 THEN floor(s / 60)::BIGINT || 'm' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || 'h' WHEN s < 172800 THEN 'yesterday'
  WHEN s < 604800 THEN floor(s / 86400)::BIGINT || 'd' WHEN s < 2592000 THEN floor(s / 604800)::BIGINT || 'w' WHEN s < 31536000 THEN floor(s / 2592000)::BIGINT || 'mo' ELSE floor(s / 31536000)::BIGINT || 'y' END AS age FROM a""")

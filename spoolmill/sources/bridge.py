@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.arrays import let, walk
+from ..functions.arrays import let
 
 #: Archived tools and the labels of speakers (fixed values).
 TOOLS = ("claude-code", "codex", "gemini", "cursor")
@@ -70,46 +70,47 @@ OLD_LABELS = {"你": "User"}
 
 def from_markdown(md: Column) -> Column:
     """Header ``fields`` as a map (of repeated keys the last counts), the body's ``messages`` (label, text) and
-    ``status``: ok, malformed_frontmatter, unknown_tool or malformed_body (text before the first label).
-    A line that is a label and a full-width colon opens a message; empty lines at a message's end go."""
-    lines = F.split(md, "\n")
+    ``status``: ok, malformed_frontmatter, unknown_tool or malformed_body (text before the first label). Null is malformed_frontmatter.
+    A line that is a label and a full-width colon opens a message; empty lines at a message's end go.
+    The places of labels are found first and each message is one slice of the lines, so time is linear in the text."""
+    current = [*((v, v) for v in LABELS.values()), *OLD_LABELS.items()]
+    label_line = "^(" + "|".join(k for k, _ in current) + ")：$"
+    named = F.create_map(*[F.lit(x) for kv in current for x in kv])
+
+    def latest(pairs: Column) -> Column:
+        """Of pairs that are sorted by key and place the last of each key, by place."""
+        last = F.filter(pairs, lambda p, i: F.coalesce(F.get(pairs, i + 1)["k"] != p["k"], F.lit(True)))
+        placed = F.array_sort(F.transform(last, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["v"].alias("v"))))
+        return F.map_from_entries(F.transform(placed, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
 
     def parts(ls: Column) -> Column:
-        close = F.array_position(F.slice(ls, 2, F.size(ls)), "---")
-        head = F.filter(F.slice(ls, 2, F.greatest(close - 1, F.lit(0)).cast("int")), lambda x: x.contains(":"))
-        pairs = F.transform(head, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
-        last = F.filter(pairs, lambda p, n: ~F.exists(F.slice(pairs, n + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-        fields = F.map_from_entries(last)
-        body = F.slice(ls, close.cast("int") + 2, F.size(ls))
-
-        def step(s: Column, line: Column) -> Column:
-            name = F.regexp_extract(line, "^(" + "|".join([*LABELS.values(), *OLD_LABELS]) + ")：$", 1)
-            name = F.create_map(*[F.lit(x) for k in [*((v, v) for v in LABELS.values()), *OLD_LABELS.items()] for x in k])[F.when(name != "", name)]
-            opens = name.isNotNull()
-            none = F.array().cast(f"array<{_OPEN}>")
-            said = F.when(opens & s["label"].isNotNull(), F.array(s)).otherwise(none)
-            now = F.when(opens, F.struct(name.alias("label"), F.array().cast("array<string>").alias("lines"), s["early"].alias("early")))
-            more = F.struct(s["label"].alias("label"), F.when(s["label"].isNull(), s["lines"]).otherwise(F.concat(s["lines"], F.array(line))).alias("lines"), (s["early"] | (s["label"].isNull() & (F.trim(line) != ""))).alias("early"))
-            return F.struct(now.otherwise(more).alias("s"), said.alias("out"))
-
-        got = walk(body, F.struct(F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit(False)), step, _OPEN, _OPEN)
-
-        def finish(g: Column) -> Column:
-            every = F.filter(F.concat(g["out"], F.array(g["s"])), lambda x: x["label"].isNotNull())
-            found = F.transform(every, lambda x: F.struct(x["label"].alias("label"), F.regexp_replace(F.array_join(x["lines"], "\n"), "\n+$", "").alias("text")))
-            iso = "^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(Z|[+-]\\d\\d:?\\d\\d)$"
-            dated = lambda k: F.coalesce(fields[k].rlike(iso), F.lit(False))
-            broken = (F.get(ls, F.lit(0)) != "---") | (close == 0) | fields["tool"].isNull()
-            poor = fields["session_id"].isNull() | ~dated("started_at") | ~dated("last_active_at") | fields["starred"].isNull()
-            status = F.when(broken, "malformed_frontmatter").when(~fields["tool"].isin(*TOOLS), "unknown_tool").when(poor, "malformed_frontmatter").when(g["s"]["early"], "malformed_body").otherwise("ok")
-            return F.struct(status.alias("status"), fields.alias("fields"), found.alias("messages"))
-
-        return let(got, finish)
-
-    return let(lines, parts)
-
-
-_OPEN = "struct<label:string,lines:array<string>,early:boolean>"
+        close = F.array_position(F.slice(ls, 2, F.size(ls)), "---").cast("int")
+        head = F.filter(F.slice(ls, 2, F.greatest(close - 1, F.lit(0))), lambda x: x.contains(":"))
+        pairs = F.transform(head, lambda x, n: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), n.alias("n"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+        body = F.slice(ls, close + 2, F.size(ls))
+        return let(F.struct((F.get(ls, F.lit(0)) == "---").alias("opened"), close.alias("close"), let(F.array_sort(pairs), latest).alias("fields"), body.alias("body")), places)
+
+    def places(h: Column) -> Column:
+        opens = F.filter(F.transform(h["body"], lambda x, i: F.when(x.rlike(label_line), i)), lambda i: i.isNotNull())
+        return let(opens, lambda at: finish(h, h["body"], at))
+
+    def finish(h: Column, body: Column, at: Column) -> Column:
+        fields = h["fields"]
+
+        def message(i: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(at, k + 1), F.size(body))
+            said = F.array_join(F.slice(body, i + 2, end - i - 1), "\n")
+            return F.struct(F.element_at(named, F.regexp_extract(F.get(body, i), label_line, 1)).alias("label"), F.rtrim(said, F.lit("\n")).alias("text"))
+
+        early = F.exists(F.slice(body, 1, F.coalesce(F.get(at, F.lit(0)), F.size(body))), lambda x: F.trim(x) != "")
+        iso = "^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(Z|[+-]\\d\\d:?\\d\\d)$"
+        dated = lambda k: F.coalesce(fields[k].rlike(iso), F.lit(False))
+        broken = ~F.coalesce(h["opened"], F.lit(False)) | (h["close"] == 0) | fields["tool"].isNull()
+        poor = fields["session_id"].isNull() | ~dated("started_at") | ~dated("last_active_at") | fields["starred"].isNull()
+        status = F.when(broken, "malformed_frontmatter").when(~fields["tool"].isin(*TOOLS), "unknown_tool").when(poor, "malformed_frontmatter").when(early, "malformed_body").otherwise("ok")
+        return F.struct(status.alias("status"), fields.alias("fields"), F.transform(at, message).alias("messages"))
+
+    return let(F.split(md, "\n"), parts)
 
 
 def to_jsonl(m: DataFrame) -> DataFrame:

@@ -141,7 +141,9 @@ def retain(spark: SparkSession, home: str, days: int | None, now: int | None = N
         at, when = log.read(spark, home), int(time.time()) if now is None else now
         there = log.archive(spark, home, at)
         lists = store.cleanup_lists(there, when, days, grace, protected)
-        touched = [r.b for r in lists.select(log.bucket(F.col("path")).alias("b")).distinct().collect()]
+        # a row that is trashed under a path taken there gets another one, which may lie in another bucket
+        came = store.cleanup(there, when, days, grace, protected).where((F.col("state") == "trash") & (F.col("trashed_at") == when)).select("path")
+        touched = [r.b for r in lists.select("path").unionByName(came).select(log.bucket(F.col("path")).alias("b")).distinct().collect()]  # at most BUCKETS
         if not touched:
             return at.version
         kept = store.cleanup(log.archive(spark, home, at, touched), when, days, grace, protected)

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from spoolmill.operators import search, store
@@ -103,3 +105,58 @@ def test_decoder_states(spark):
     assert {r.md: r.d.status for r in got} == cases
     d = next(r.d for r in got if r.md == good)
     assert d.fields["starred"] == "true" and [(m.label, m.text) for m in d.messages] == [("User", "hi \x01"), ("User", ""), ("Codex", "User： inline")]
+
+
+def test_decoder_is_linear_and_takes_the_last_of_a_key(spark):
+    head = "---\ntool: codex\nsession_id: s\nstarted_at: 2024-01-01T00:00:00Z\nlast_active_at: 2024-01-01T00:00:00Z\nstarred: no\nb: 1\na: 1\nb: 2\n---\n\n"
+
+    def took(lines):
+        body = "User：\n" + "\n".join(f"line {i}" if i % 3 != 1 else "" for i in range(lines)) + "\n\n" + "Codex：\nx\n\n" * (lines // 3)
+        df = spark.createDataFrame([(head + body,)], "md string")
+        start = time.perf_counter()
+        d = df.select(bridge.from_markdown(F.col("md")).alias("d")).first().d
+        seconds = time.perf_counter() - start
+        assert d.status == "ok" and len(d.messages) == 1 + lines // 3 and d.messages[0].text.count("\n") == lines - 1
+        assert d.fields["b"] == "2" and d.fields["a"] == "1" and all(m.text == "x" for m in d.messages[1:])
+        return seconds
+
+    took(100)
+    assert took(100_000) < 20
+
+
+def test_decoder_of_null(spark):
+    d = spark.createDataFrame([(None,)], "md string").select(bridge.from_markdown(F.col("md")).alias("d")).first().d
+    assert d.status == "malformed_frontmatter" and not d.messages
+
+
+def test_many_moves_at_once(spark):
+    rows = [("a.md", 1, "live"), ("a.md", 2, "trash"), ("b.md", 3, "trash"), ("c.md", None, "live"), ("d.md", 4, "live"), ("e.md", 5, "live"), ("e.md", 6, "live"), ("f", 1, "live"), ("f", 0, "trash")]
+    a = spark.createDataFrame([(p, t, False, s, 7 if s == "trash" else None) for p, t, s in rows], ROW)
+    asked = spark.createDataFrame([(p,) for p in ("a.md", "a.md", "b.md", "c.md", "e.md", "f", "no.md", None)], "path string")
+    after, errors = store.move(a, asked, "trash", 50)
+    assert {tuple(r) for r in errors.collect()} == {("b.md", "there"), ("no.md", "missing"), (None, "missing")}
+    got = sorted((r.path, r.last_active_at, r.state, r.trashed_at) for r in after.collect())
+    assert len(got) == len(rows) and len({(g[0], g[2]) for g in got}) == len(rows)
+    plain = {g for g in got if "-" not in g[0]}
+    assert plain == {("a.md", 2, "trash", 7), ("b.md", 3, "trash", 7), ("c.md", None, "trash", 50), ("d.md", 4, "live", None), ("e.md", 6, "trash", 50), ("f", 0, "trash", 7)}
+    other = {(g[0].split("-")[0], g[1], g[2], g[3], g[0].endswith(".md")) for g in got if "-" in g[0]}
+    assert other == {("a", 1, "trash", 50, True), ("e", 5, "trash", 50, True), ("f", 1, "trash", 50, False)}
+    back, none = store.move(after, after.select("path"), "live", 60)
+    assert none.where("error <> 'there'").isEmpty() and back.where("state <> 'live' OR trashed_at IS NOT NULL").isEmpty() and back.count() == len(rows)
+    assert back.select("path").distinct().count() == len(rows)
+    empty, errors = store.move(a.limit(0), asked, "live", 1)
+    assert empty.isEmpty() and errors.count() == 7
+
+
+def test_expiry_beside_a_trashed_row_of_the_path(spark):
+    now, a = archive(spark)
+    b = a.unionByName(spark.createDataFrame([("old", 1, False, "trash", now - DAY)], ROW))
+    got = [(r.path, r.trashed_at) for r in store.cleanup(b, now, 7).where("state = 'trash'").collect()]
+    assert len(got) == 2 and ("old", now - DAY) in got and len({p for p, _ in got}) == 2
+    assert {tuple(r) for r in store.cleanup_lists(b, now, 7).collect()} == {("old", "trashed"), ("gone", "purged")}
+
+
+def test_beside(spark):
+    a = spark.createDataFrame([("a", 3, False, "live", None), ("b", 3, False, "live", None), ("c", None, False, "live", None), ("t", 3, False, "trash", 1)], ROW)
+    got = {p: [tuple(r) for r in store.beside(a, p).collect()] for p in "abct"}
+    assert got == {"a": [("a", "b")], "b": [("a", "c")], "c": [("b", "c")], "t": []}
