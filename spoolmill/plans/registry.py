@@ -75,6 +75,14 @@ def search_scope_filter_after_limit(spark, sf_dir):
     return search.search(_documents(spark, sf_dir), "worthless").where("lang = 'en'").select("path", "lang")
 
 
+@query(_bm25_sql("worthless") + " SELECT path, ['claude-code', 'codex', 'gemini', 'cursor'][(last_active_at // 60) % 5] AS tool FROM b WHERE (last_active_at // 60) % 5 > 0")
+def search_known_tools_after_limit(spark, sf_dir):
+    """Hits of a tool that isn't known are left out of the fifty, not replaced by others."""
+    tools = F.array(F.lit("vim"), *map(F.lit, B.TOOLS))
+    rows = _documents(spark, sf_dir).withColumn("tool", F.get(tools, (F.floor(F.col("last_active_at") / 60) % 5).cast("int")))
+    return search.known_tools(search.search(rows, "worthless"), B.TOOLS).select("path", "tool")
+
+
 @query(_S + "SELECT path, title, last_active_at FROM s WHERE contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'zu') OR contains(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'zu') OR contains(project, 'zu') ORDER BY last_active_at DESC, path LIMIT 50")
 def search_short_like(spark, sf_dir):
     return search.search(_documents(spark, sf_dir), "Zu").select("path", "title", "last_active_at")

@@ -134,3 +134,22 @@ def test_listing_by_depth_without_hidden_files(spark, tmp_path):
         (tmp_path / name).write_text("{}")
     names = lambda depth: sorted(r.path.rpartition("/")[2] for r in ingest.listing(spark, str(tmp_path), depth=depth).collect())
     assert names(None) == ["a.jsonl", "b.jsonl", "d.jsonl"] and names(2) == ["b.jsonl"]
+
+
+def test_late_lines_change_bounds_and_title(spark, tmp_path):
+    root, home = tmp_path / "in" / "p", str(tmp_path / "home")
+    roots = {"claude-code": str(tmp_path / "in")}
+
+    def row():
+        ingest.sync(spark, roots, home, now=9000)
+        r = ingest.archive(spark, home).collect()
+        assert len(r) == 1
+        return r[0].title, (r[0].started_at - 1704067200) // DAY, (r[0].last_active_at - 1704067200) // DAY, [m.text for m in r[0].messages]
+
+    put(root / "a.jsonl", "one", day=2)
+    assert row() == ("one", 1, 1, ["one"])
+    put(root / "a.jsonl", "two", day=4, mtime=2000, mode="a")
+    assert row() == ("one", 1, 3, ["one", "two"])
+    put(root / "a.jsonl", "zero", day=2, mtime=3000)
+    put(root / "a.jsonl", "three", day=3, mtime=3000, mode="a")
+    assert row() == ("zero", 1, 2, ["zero", "three"])
