@@ -187,6 +187,31 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
     return left.join(F.broadcast(hot), key).unionByName(cold)
 
 
+#: Bits of a sieve for each of its keys, and in all (32 MiB, what is broadcast at most).
+SIEVE, SIEVE_BITS = 16, 1 << 28
+
+
+def sift(df: DataFrame, by: Column, keys: DataFrame, key: Column, out: bool = False) -> DataFrame:
+    """The rows of ``df`` whose ``by`` may be among the values of ``key`` in ``keys``, or with ``out`` those where it
+    is surely not: what a join with ``keys`` may leave out, told without a shuffle of ``df``. ``keys`` should be a
+    written table; both expressions are hashes, as by ``xxhash64``.
+
+    The keys set bits in a bitmap, dealt in buckets of 32,768 bits that are broadcast. Of the other rows one in
+    ``SIEVE`` passes, and more of them where the keys outgrow ``SIEVE_BITS``: then the join that follows has more
+    to do, with the same result.
+    """
+    bits = min(SIEVE * max(keys.count(), 2048), SIEVE_BITS)
+    place = F.pmod(key, F.lit(bits))
+    sieve = keys.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_place"))
+    sieve = sieve.groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bitmap"))
+    rows = df.withColumn("_at", F.pmod(by, F.lit(bits)))
+    bit = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))) % 2 == 1
+    on = (F.bitmap_bucket_number("_at") == F.col("_bucket")) & is_set
+    return rows.join(F.broadcast(sieve), on, "left_anti" if out else "left_semi").drop("_at")
+
+
 def carrying(df: DataFrame, used: list[str], added: list[str], work: Callable[[DataFrame], DataFrame], gone: tuple[str, ...] = ()) -> DataFrame:
     """``work`` on the columns ``used`` of ``df`` alone; the result has the columns of ``df``, which travel in one
     struct so that no name can clash, and those ``added``. A column of ``df`` that is named as an added one is

@@ -40,10 +40,10 @@ from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, is_hot, join_spread, parts, scratch
+from .common import cut, is_hot, join_spread, parts, scratch, sift
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
 TOKENS, DEPTH, SMALL, BRANCH, FULL = 64, 12, 256, 1.5, 2
@@ -125,6 +125,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _row_key(doc: str, key: str) -> Column:
+    return F.xxhash64(doc, key)
+
+
 def sketches(df: DataFrame, words: int = WORDS, seed: int = 7) -> DataFrame:
     """(doc_id, text_key, sid, n, sk): a hash of the text, the set's name, its size and its tokens; null for texts without words."""
 
@@ -276,7 +280,8 @@ def _runs(sets: DataFrame, labelled: DataFrame, runs: range, rng: np.random.Gene
     for level in range(1, DEPTH + 1):
         labels = F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")
         counts = cut(rows.groupBy("node").agg(*labels).where("m > 1 AND lo <> hi").select("node", "m"))
-        rows = cut(join_spread(rows, counts, "node", "m"))
+        # most rows are alone in their node, or among their own group
+        rows = cut(join_spread(sift(rows, F.col("node"), counts, F.col("node")), counts, "node", "m"))
         small = rows.where(F.col("m") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
         small = small.select("sids").distinct().select(F.xxhash64("sids").alias("bucket"), F.explode("sids").alias("sid"))
         met.append(small.select("bucket", "sid", F.lit(0).alias("side"), F.lit(False).alias("cross")))
@@ -481,9 +486,10 @@ def _classes(df: DataFrame, docs: DataFrame, threshold: float, words: int, recal
     with scratch() as keep:
         group = keep(cut(components(candidates(sets, threshold, recall))))
     size = cut(group.groupBy("root").agg(F.count("*").alias("size")))
-    member = join_spread(group, size, "root", "size").withColumnRenamed("node", "sid").join(sets.select("sid", "row", "w", "n"), "sid")
+    member = cut(join_spread(group, size, "root", "size").withColumnRenamed("node", "sid").join(sets.select("sid", "row", "w", "n"), "sid"))
     # a set fetches the text of one row; the id alone may be null or repeated
     text = df.select(F.col("doc_id").cast("long").alias("_doc"), text_key(F.col("text")).alias("_key"), "text")
+    text = sift(text, _row_key("_doc", "_key"), member, _row_key("row.doc_id", "row.text_key"))
     texts = text.join(member, (F.col("_key") == F.col("row.text_key")) & F.col("_doc").eqNullSafe(F.col("row.doc_id")))
     texts = texts.select("root", "size", "sid", "w", "n", "text")
     # rows that are repeated with their id would each give their set again; where there are any, tasks keep one of each
@@ -506,13 +512,22 @@ def keep_one(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, re
     with scratch() as keep:
         joined = keep(cut(join(df, threshold, words, recall)))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
-    won = joined.where("class_key IS NOT NULL").groupBy("class_key").agg(best).select(F.col("best.doc_id").alias("won_doc"), F.col("best.text_key").alias("won_key"))
-    blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    keyed = df.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"), blank.alias("blank"))
-    same = F.col("id").eqNullSafe(F.col("won_doc")) & (F.col("key") == F.col("won_key"))
-    kept = keyed.where("NOT blank").join(won, same, "left_semi")
-    if not joined.groupBy("doc_id", "text_key").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
-        # repeated rows are numbered among themselves
-        first = Window.partitionBy("id", "key").orderBy("key")
-        kept = kept.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return kept.select("row.*").unionByName(keyed.where("blank").select("row.*"))
+    many = joined.where("class_key IS NOT NULL").groupBy("class_key").agg(best, F.count("*").alias("c")).where("c > 1")
+    won = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    lost = join_spread(joined.select("doc_id", "text_key", "class_key"), cut(many), "class_key", "c").where(~won)
+    lost = cut(lost.select(F.col("doc_id").alias("lost_doc"), F.col("text_key").alias("lost_key")).distinct())
+    keyed = df.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"))
+    sieve = _row_key("id", "key"), lost, _row_key("lost_doc", "lost_key")
+    same = F.col("id").eqNullSafe(F.col("lost_doc")) & (F.col("key") == F.col("lost_key"))
+    # rows that surely haven't lost stay where they are
+    kept = sift(keyed, *sieve, out=True).unionByName(sift(keyed, *sieve).join(lost, same, "left_anti"))
+    again = joined.where("class_key IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count("*").alias("c")).where("c > 1")
+    if not again.isEmpty():
+        # of repeated rows each task keeps one, before they meet; texts without words all stay
+        again = cut(again.select(F.col("doc_id").alias("twice_doc"), F.col("text_key").alias("twice_key")))
+        sieve = _row_key("id", "key"), again, _row_key("twice_doc", "twice_key")
+        blank = F.trim(F.translate(F.coalesce("row.text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
+        apart = F.when(blank, F.monotonically_increasing_id())
+        one = sift(kept, *sieve).groupBy("id", "key", apart.alias("apart")).agg(F.first("row").alias("row"))
+        kept = sift(kept, *sieve, out=True).select("row").unionByName(one.select("row"))
+    return kept.select("row.*")
