@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spoolmill.llm import common, jaccard
 
@@ -79,3 +80,32 @@ def test_large_groups_links_and_recall(spark, planted, monkeypatch):
 
 def test_runs_repeat_until_the_recall():
     assert jaccard.runs_for(0.99, 1) == 5 and jaccard.runs_for(0.99, 2) == 6 and jaccard.runs_for(0.99, 12) == jaccard.runs_for(0.99, 40) == 8
+
+
+def test_sift_keeps_all_keys_and_few_others(spark, monkeypatch):
+    df = spark.range(40_000).selectExpr("id AS doc", "xxhash64(id) AS h")
+    keys = common.cut(spark.range(0, 40_000, 10).selectExpr("id AS k"))
+    sieve = F.col("h"), keys, F.xxhash64("k")
+    kept = {r.doc for r in common.sift(df, *sieve).collect()}
+    wanted = set(range(0, 40_000, 10))
+    assert wanted <= kept and len(kept - wanted) < 0.1 * 36_000
+    assert {r.doc for r in common.sift(df, *sieve, out=True).collect()} == set(range(40_000)) - kept
+    none = common.cut(keys.where("k < 0"))
+    assert common.sift(df, F.col("h"), none, F.xxhash64("k")).isEmpty()
+    assert common.sift(df, F.col("h"), none, F.xxhash64("k"), out=True).count() == 40_000
+    monkeypatch.setattr(common, "SIEVE_BITS", 64)  # keys that outgrow the bitmap only let more rows pass
+    assert wanted <= {r.doc for r in common.sift(df, *sieve).collect()}
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 8])
+def test_keep_one_of_repeated_and_blank_rows(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    long = " ".join(f"w{i}" for i in range(100))
+    near, other = long + " more", " ".join(f"v{i}" for i in range(50))
+    rows = [(5, long), (5, long), (3, near), (3, near), (9, long), (7, other), (None, other), (8, ""), (8, ""), (8, " \n"), (None, None), (None, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int").repartition(4)
+    got = jaccard.keep_one(df)
+    assert got.columns == df.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    want = [(3, near), (7, other), (8, ""), (8, ""), (8, " \n"), (None, None), (None, None)]
+    assert sorted(left, key=str) == sorted(want, key=str)
