@@ -52,3 +52,34 @@ def test_a_query_reads_a_small_share_of_the_index(spark, tmp_path):
     files = {r[0] for r in read.selectExpr("input_file_name()").distinct().collect()}
     assert 0 < len(files) <= 4 < len(spark.read.parquet(f"{home}/grams").inputFiles()) / 5
     assert [r.path for r in postings.search(spark, home, "needle").collect()] == sorted((f"p{i}" for i in range(0, 400, 50)), key=lambda p: p)
+
+
+def test_postings_are_those_of_a_scan_and_need_no_shuffle(spark, tmp_path):
+    texts = ["abcabcab", "ab", None, "", "x\x00\x00\x00y", "\U0001f600\U0001f600\U0001f600 \U0001f600a", "端口被占用端口被", "ÀÉÎàéî", "aaaa\naaaa"]
+    rows = [(f"p{i}", texts[-i], t, texts[i - 3], 0) for i, t in enumerate(texts)] + [("p1", None, "gone", None, 0)]
+    frame, home = spark.createDataFrame(rows, ROW), str(tmp_path / "p")
+    assert not any(x in postings.postings(frame)._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Sort", "Aggregate"))
+    postings.build(frame, home)
+    want = {}
+    for path, *row in rows[:-1]:
+        for part, text in zip(postings.COLUMNS, row[:3]):
+            for i in range(len(text or "") - 2):
+                want.setdefault((text.lower()[i : i + 3], path, part), []).append(i)
+    read = spark.read.schema(postings.GRAMS).parquet(f"{home}/grams").where("part != ''").collect()
+    assert {(r.gram, r.path, r.part): r.positions for r in read} == want and len(read) == len(want)
+    assert {r.path: r["size"] for r in postings.records(spark, home).collect()} == {p: sum(max(len(t or "") - 2, 0) for t in row[:3]) for p, *row in rows[:-1]}
+    for q in ("\U0001f600" * 3, "\U0001f600 \U0001f600", "端口被占", "aaa"):
+        assert ranks(spark, home, spark.createDataFrame(rows[:-1], ROW), q), q
+    postings.update(spark.createDataFrame([], ROW), home, spark.createDataFrame([("p0",)], "path string"))
+    assert postings.records(spark, home).count() == len(texts) - 1
+
+
+def test_sorting_of_trigrams_of_few_and_of_very_many_characters():
+    rng = random.Random(4)
+    for alphabet in ("ab", [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(3, 50))) for _ in range(200)] + ["".join(alphabet) * 2]
+        points, at, text, new = postings._sorted(texts)
+        whole, starts = "".join(texts), [sum(map(len, texts[:i])) for i in range(len(texts))]
+        want = sorted((t[i : i + 3], k, starts[k] + i) for k, t in enumerate(texts) for i in range(len(t) - 2))
+        assert [(whole[a : a + 3], k, a) for a, k in zip(at.tolist(), text.tolist())] == want
+        assert new.tolist() == [i == 0 or want[i - 1][0] != w[0] for i, w in enumerate(want)] and len(points) == len(whole)
