@@ -34,6 +34,8 @@ BORDER = f"^[ \\t]*{T.BOX}[ \\t\\x{{2500}}-\\x{{257F}}]*$"
 FRAMED = f"^{_TRIM}*[│┃║](.*[│┃║])?{_TRIM}*$"
 #: What a line shows if any of the shapes of code or tables may fit it.
 MARKED = "^[\\p{Zs}\\t*|/\\\\_+:\\-]|[|\\x{2500}-\\x{257F}]"
+#: The first characters of :data:`MARKED`, all blanks among them.
+FIRST = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\t*|/\\_+:-"
 #: Lines that open a block of their own, whatever comes before.
 OPENS = "^[ \\t]*(?:#|>|```|~~~|[-*+] |\\p{N}+[.)](?: |$))"
 CONTINUES = f"^[ \\t]*[A-Za-z0-9\"'(“‘（{WIDE}]"
@@ -48,6 +50,16 @@ def _ink(line: Column) -> Column:
     return F.length(F.regexp_replace(line, "[ \\t]", ""))
 
 
+def _boxed(line: Column) -> Column:
+    """Whether ``line`` has a box character; those of ASCII alone need no pattern."""
+    return (F.octet_length(line) > F.length(line)) & line.rlike(T.BOX)
+
+
+def _marked(line: Column) -> Column:
+    """What :data:`MARKED` matches, for most lines without a pattern."""
+    return ((line != "") & (F.instr(F.lit(FIRST), F.substring(line, 1, 1)) > 0)) | line.contains("|") | _boxed(line)
+
+
 def _separator(line: Column) -> Column:
     return line.contains("-") & line.rlike(f"^{_TRIM}*[|:\\- ]*{_TRIM}*$")
 
@@ -126,8 +138,8 @@ def kinds(lines: Column) -> Column:
         return F.when((z["n"] == 0) | (z["i"] < s["end"]), nothing).otherwise(F.struct(F.struct((z["i"] + z["n"]).alias("end")).alias("s"), runs.alias("out")))
 
     def whole(fenced: Column) -> Column:
-        each = F.zip_with(lines, fenced, lambda x, f: F.struct(f.alias("fence"), x.alias("line")))
-        marked = F.filter(F.transform(each, lambda z, i: F.struct(i.alias("i"), z["fence"].alias("fence"), z["line"].alias("line"))), lambda z: z["fence"] | z["line"].rlike(MARKED))
+        each = F.transform(lines, lambda x, i: F.when(F.get(fenced, i) | _marked(x), F.struct(i.alias("i"), F.get(fenced, i).alias("fence"), x.alias("line"))))
+        marked = F.filter(each, lambda z: z.isNotNull())
         got = walk(_runs(marked), F.struct(F.lit(0)), take, "struct<end:int>", _RUN)
         expand = lambda g: F.flatten(F.transform(F.concat(g["out"], F.array(F.struct(F.lit("prose"), F.size(lines) - g["s"]["end"]).cast(_RUN))), lambda r: F.array_repeat(r["kind"], r["n"])))
         return let(got, expand)
@@ -157,13 +169,13 @@ def _tidy(items: Column) -> Column:
         body = F.regexp_replace(y["text"], "^[ \\x{3000}]+", "")
         dense = 10 * _many(body, DENSE) >= F.length(F.regexp_replace(body, "[ \\t\\x{3000}]", ""))
         pad = F.length(y["text"]) - F.length(body)
-        hit = (y["kind"] == "prose") & pad.between(1, 4) & (body != "") & ~body.rlike(OPENS.replace("[ \\t]*", "")) & body.rlike(f"[{CJK}]") & ~dense
-        blank = (y["kind"] == "prose") & T.is_blank(y["text"])
+        led = F.instr(F.lit(" \u3000"), F.substring(y["text"], 1, 1)) > 0
+        hit = (y["kind"] == "prose") & led & (y["text"] != "") & pad.between(1, 4) & (body != "") & ~body.rlike(OPENS.replace("[ \\t]*", "")) & body.rlike(f"[{CJK}]") & ~dense
+        blank = (y["kind"] == "prose") & (F.btrim(y["text"], F.lit(" \t")) == "")
         return F.struct(y["kind"].alias("kind"), F.when(blank, "").when(hit, body).otherwise(y["text"]).alias("text"), blank.alias("blank"))
 
     def keep(lines: Column) -> Column:
-        left = F.filter(F.transform(lines, lambda y, i: F.struct(y.alias("y"), (y["blank"] & F.when(i > 0, F.get(lines, i - 1)["blank"]).otherwise(False)).alias("again"))), lambda z: ~z["again"])
-        return F.transform(left, lambda z: F.struct(z["y"]["kind"].alias("kind"), z["y"]["text"].alias("text")))
+        return F.filter(lines, lambda y, i: ~(y["blank"] & F.when(i > 0, F.get(lines, i - 1)["blank"]).otherwise(False)))
 
     return let(F.transform(items, line), keep)
 
@@ -180,12 +192,14 @@ ENDS = "{([,;:=<>&|+*/\\"
 
 
 def _coded(ends: Column, head: Column, dense: Column, ink: Column) -> Column:
-    return ends | head.rlike(T.DIFF) | (10 * dense >= 3 * ink)
+    return ends | ((F.instr(F.lit("@d+-"), F.substring(head, 1, 1)) > 0) & head.rlike(T.DIFF)) | (10 * dense >= 3 * ink)
 
 
 def _line(x: Column, wide: Column) -> Column:
     """The summary (:data:`_LINE`) of one line that isn't blank; ``wide`` says whether its text has wide characters."""
 
+    wide = wide & (F.octet_length(x) > F.length(x))
+
     def of(bare: Column) -> Column:
         lead = F.length(x) - F.length(F.ltrim(x, F.lit(" \t")))
         ink = F.length(F.replace(F.replace(bare, F.lit(" "), F.lit("")), F.lit("\t"), F.lit("")))
@@ -199,7 +213,7 @@ def _line(x: Column, wide: Column) -> Column:
                 p["w"].alias("w"), p["lead"].alias("lead"), (F.length(x) - p["lead"] - F.length(bare)).alias("trail"), p["ink"].alias("ink"), p["dense"].alias("dense"), p["head"].alias("head"), F.length(bare).alias("n"), _coded(p["ends"], p["head"], p["dense"], p["ink"]).alias("coded"),
                 F.endswith(bare, F.lit("-")).alias("hyphen"), p["ends"].alias("ends"), (wide & bare.rlike(f"[{WIDE}]$")).alias("wide"),
                 (~letter & x.rlike(OPENS)).alias("opens"), (letter | bare.rlike(CONTINUES)).alias("goes"), lower.alias("lower"), (wide & bare.rlike(f"^[{WIDE}]")).alias("first"),
-            ).cast(_LINE)
+            )
 
         width = F.length(x) + F.when(wide, _many(x, WIDE)).otherwise(0)
         return let(F.struct(width.alias("w"), lead.alias("lead"), ink.alias("ink"), dense.alias("dense"), F.substring(bare, 1, _HEAD).alias("head"), (F.instr(F.lit(ENDS), F.right(bare, F.lit(1))) > 0).alias("ends")), parts)
@@ -220,7 +234,7 @@ def _seam(s: Column, y: Column, width: Column) -> Column:
 
 
 def _alone(y: Column) -> Column:
-    return F.struct(*[y[f.split(":")[0]] for f in _JOINED[7:-1].split(",")]).cast(_JOINED)
+    return F.struct(*[y[f].alias(f) for f in (x.split(":")[0] for x in _JOINED[7:-1].split(","))])
 
 
 def _added(s: Column, y: Column, seam: Column) -> Column:
@@ -230,7 +244,7 @@ def _added(s: Column, y: Column, seam: Column) -> Column:
     start = F.concat(F.substring(s["head"], F.lit(1), F.least(n, F.lit(_HEAD))), F.repeat(F.lit(" "), more), y["head"])
 
     def of(p: Column) -> Column:
-        return F.struct((s["w"] - s["trail"] - less + more + y["w"] - y["lead"]).alias("w"), y["trail"].alias("trail"), p["ink"].alias("ink"), p["dense"].alias("dense"), p["head"].alias("head"), (n + more + y["n"]).alias("n"), _coded(y["ends"], p["head"], p["dense"], p["ink"]).alias("coded"), y["hyphen"].alias("hyphen"), y["wide"].alias("wide")).cast(_JOINED)
+        return F.struct((s["w"] - s["trail"] - less + more + y["w"] - y["lead"]).alias("w"), y["trail"].alias("trail"), p["ink"].alias("ink"), p["dense"].alias("dense"), p["head"].alias("head"), (n + more + y["n"]).alias("n"), _coded(y["ends"], p["head"], p["dense"], p["ink"]).alias("coded"), y["hyphen"].alias("hyphen"), y["wide"].alias("wide"))
 
     head = F.when(n >= _HEAD, s["head"]).otherwise(F.substring(start, 1, _HEAD))
     return let(F.struct((s["ink"] - less + y["ink"]).alias("ink"), (s["dense"] + y["dense"]).alias("dense"), head.alias("head")), of)
@@ -281,12 +295,12 @@ def clean(t: Column, *, reflow_wraps: bool = True, strip_markdown: bool = False,
     # that is cheap to see. Repeating these steps costs less than another level of let-bindings for the analyzer.
     raw = F.when(t.contains("\r"), T.normalize_newlines(t)).otherwise(t)
     code = F.when(raw.contains("\x1b"), T.strip_escapes(raw)).otherwise(raw)
-    views = F.struct(F.split(raw, "\n").alias("raw"), F.split(code, "\n").alias("code"), F.split(T.strip_invisible(code), "\n").alias("bare"), raw.rlike(T.BOX).alias("box"), raw.rlike(f"[{WIDE}]").alias("wide"))
+    views = F.struct(F.split(raw, "\n").alias("raw"), F.split(code, "\n").alias("code"), F.split(T.strip_invisible(code), "\n").alias("bare"), _boxed(raw).alias("box"), ((F.octet_length(raw) > F.length(raw)) & raw.rlike(f"[{WIDE}]")).alias("wide"))
 
     def parts(v: Column) -> Column:
         def line(k: Column, i: Column) -> Column:
             bare = F.get(v["bare"], i)
-            prose = F.when(v["box"] & bare.rlike(T.BOX), T.clean_prose_line(bare)).otherwise(F.rtrim(bare, F.lit(" \t")))
+            prose = F.when(v["box"] & _boxed(bare), T.clean_prose_line(bare)).otherwise(F.rtrim(bare, F.lit(" \t")))
             text = F.when(k == "code", F.get(v["code"], i)).when(k == "table", F.when(_separator(bare), "").otherwise(T.table_cells(bare))).otherwise(prose)
             return F.struct(k.alias("kind"), text.alias("text"))
 

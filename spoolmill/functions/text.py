@@ -76,15 +76,16 @@ def collapse_blanks(t: Column) -> Column:
 
 
 def plain_line(line: Column) -> Column:
-    """One markdown line without its marks."""
+    """One markdown line without its marks. What a line has no character for is not tried."""
     quoted = F.regexp_replace(line, "^([ \\t]*> ?)+", "")
     marked = F.when(quoted.rlike("^[ \\t]*#+ "), F.regexp_replace(quoted, "^[ \\t]*#+ ", "")).otherwise(F.regexp_replace(quoted, "^[ \\t]*([-*+]|[0-9]+[.)]) +", ""))
+    marked = F.when(F.instr(F.lit(">#-*+0123456789"), F.substring(F.ltrim(line, F.lit(" \t")), 1, 1)) > 0, marked).otherwise(line)
     out = F.regexp_replace(marked, "!\\[([^\\]]*)\\]\\([^)]*\\)", "$1")
     out = F.regexp_replace(out, "\\[([^\\]]*)\\]\\(([^)]*)\\)", "$1 ($2)")
     out = F.regexp_replace(out, "`([^`]*)`", "$1")
     for mark in ("\\*\\*([^*]+)\\*\\*", "__([^_]+)__", "\\*([^*]+)\\*", "_([^_]+)_"):
         out = F.regexp_replace(out, mark, "$1")
-    return out
+    return F.when(line.contains("*") | line.contains("_") | line.contains("`") | line.contains("["), out).otherwise(marked)
 
 
 def sanitize(session: Column) -> Column:
@@ -136,6 +137,7 @@ def to_plain_text(t: Column) -> Column:
 
     def step(s: Column, line: Column) -> Column:
         run = F.when(line.rlike("^[ \\t]*`{3,}+[^`]*`"), 0).otherwise(F.length(F.regexp_extract(line, "^[ \\t]*(`{3,}|~{3,})", 1)))
+        run = F.when(line.contains("```") | line.contains("~~~"), run).otherwise(0)
         inside = s["n"] > 0
         mark = (run > 0) & (run >= s["n"])
         said = F.when(mark, F.array().cast("array<string>")).otherwise(F.array(F.when(inside, line).otherwise(plain_line(line))))

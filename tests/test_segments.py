@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoolmill.functions import segments as S
+from spoolmill.functions import text as T
 
 BOX = "[\u2500-\u257f]"
 WIDE = "[\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef]"
@@ -204,3 +205,21 @@ def test_time_is_linear_in_the_lines_of_a_paragraph(spark):
     seconds(10)
     few, many = seconds(5000), seconds(40000)
     assert many < 16 * few + 5 and many < 60
+
+
+def test_cheap_checks_before_patterns_tell_the_same(spark):
+    """Most lines are spared the patterns; where one of them may match, it is tried."""
+    rng = random.Random(9)
+    every = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x11000))]
+    lines = ["", *every, *("a" + c + "b" for c in every[0x1FFF:0x3100]), *("".join(rng.choices(" \t*_`[]()!>#-+1.|a─é　", k=rng.randint(1, 14))) for _ in range(4000))]
+    rows = spark.createDataFrame(list(enumerate(lines)), "n int, line string").select("line", S._marked(F.col("line")).alias("marked"), F.col("line").rlike(S.MARKED).alias("want"), S._boxed(F.col("line")).alias("boxed"), F.col("line").rlike(T.BOX).alias("box"), T.plain_line(F.col("line")).alias("plain")).collect()
+    assert [r.line for r in rows if r.marked != r.want or r.boxed != r.box] == []
+
+    def plain(x):
+        x = re.sub(r"^([ \t]*> ?)+", "", x)
+        x = re.sub(r"^[ \t]*#+ ", "", x) if re.search(r"^[ \t]*#+ ", x) else re.sub(r"^[ \t]*([-*+]|[0-9]+[.)]) +", "", x)
+        for p, to in ((r"!\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[([^\]]*)\]\(([^)]*)\)", r"\1 (\2)"), (r"`([^`]*)`", r"\1"), (r"\*\*([^*]+)\*\*", r"\1"), (r"__([^_]+)__", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"_([^_]+)_", r"\1")):
+            x = re.sub(p, to, x)
+        return x
+
+    assert [(r.line, r.plain) for r in rows if r.plain != plain(r.line)] == []
